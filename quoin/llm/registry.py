@@ -1,12 +1,14 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, substring_dedup
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
     "op4_mixing": mixing.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
