@@ -1,9 +1,10 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import exact_dedup, mixing, substring_dedup
+from . import exact_dedup, mixing, simhash_dedup, substring_dedup
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
