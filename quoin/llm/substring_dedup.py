@@ -35,8 +35,10 @@ WINDOW = 13
 #: Windows that a task sorts at a time.
 RUN = 1 << 22
 _LAST = 2**63 - 1
-_BLOCKS = "bucket int, doc_id long, n int, head binary, hashes binary, docs binary, ids binary"
-_HITS = "doc_id long, hashes binary, refs binary"
+_HITS = "bucket int, n int, docs binary, hashes binary, refs binary"
+_BLOCKS = "bucket int, n int, docs binary, hashes binary, refs binary, head binary"
+#: Ids are dealt by (id % _MOD) * _TIMES % _MOD.
+_MOD, _TIMES = 2**31 - 1, 48271
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -59,18 +61,22 @@ def _low48(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6])
 
 
-def _binary(values: np.ndarray, ends: np.ndarray, width: int) -> pa.Array:
-    """Binary values: the items of `values` (width bytes each) up to each end."""
-    offsets = np.concatenate([[0], ends]).astype(np.int32) * np.int32(width)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+def _hit_blocks(doc: np.ndarray, h: np.ndarray, ref: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """(bucket, n, documents, hashes, references) of hit windows, for each bucket of documents."""
+    to = doc % _MOD * _TIMES % _MOD % buckets
+    order = np.lexsort((doc, to))
+    to, doc, h, ref = to[order], doc[order], h[order], ref[order]
+    first = np.flatnonzero(np.insert(to[1:] != to[:-1], 0, True))
+    for a, b in zip(first.tolist(), np.append(first[1:], len(to)).tolist(), strict=True):
+        yield int(to[a]), b - a, _squeeze(doc[a:b]), _low48(h[a:b]).tobytes(), _squeeze(ref[a:b])
 
 
-def _hit_columns(doc: np.ndarray, h: np.ndarray, ref: np.ndarray) -> list[pa.Array]:
-    """A row for each document: its hit windows' hashes and references."""
-    order = np.argsort(doc, kind="stable")
-    doc, h, ref = doc[order], h[order], ref[order]
-    ends = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) + 1
-    return [pa.array(doc[ends - 1], pa.int64()), _binary(_low48(h), ends, 6), _binary(ref.astype(np.int64), ends, 8)]
+def _squeeze(ids: np.ndarray) -> bytes:
+    return pa.compress(ids.astype(np.int64).tobytes(), codec="zstd", asbytes=True)
+
+
+def _expand(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, n * 8, codec="zstd", asbytes=True), np.int64)
 
 
 def _repeats(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,8 +91,15 @@ def _repeats(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return member, dm, least
 
 
+def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=fields)
+
+
+_HIT_FIELDS = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary()), ("refs", pa.binary())])
+
+
 def _index_blocks(window: int, buckets: int):
-    fields = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("head", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary())])
+    fields = _HIT_FIELDS.append(pa.field("head", pa.binary()))
     step = -(-(1 << 64) // buckets)
 
     def flush(hashes: list, docs: list) -> Iterator[pa.RecordBatch]:
@@ -96,34 +109,29 @@ def _index_blocks(window: int, buckets: int):
         h, doc = h[order], doc[order]
         del order
         member, dm, least = _repeats(h, doc)
-        keep = np.ones(len(h), bool)
         if len(member):
             hit = dm > least
             if hit.any():
-                ids, hit_hashes, refs = _hit_columns(dm[hit], h[member][hit], least[hit])
-                none = pa.nulls(len(ids), pa.binary())
-                at = pa.array((ids.to_numpy() % buckets).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([at, ids, pa.nulls(len(ids), pa.int32()), none, hit_hashes, none, refs], schema=fields)
+                yield _batch([(*x, None) for x in _hit_blocks(dm[hit], h[member][hit], least[hit], buckets)], fields)
+            keep = np.ones(len(h), bool)
             keep[member[hit]] = False
-            again = np.insert((h[1:] == h[:-1]) & (doc[1:] == doc[:-1]), 0, False)  # repeats within a document
-            keep &= ~again
-        h, doc = h[keep], doc[keep]
-        edges = np.searchsorted(h, np.array([min(k * step, (1 << 64) - 1) for k in range(1, buckets)], np.uint64))
-        rows: list[list] = [[] for _ in fields]
-        for k, (a, b) in enumerate(zip(np.append(0, edges), np.append(edges, len(h)), strict=True)):
-            if a == b:
-                continue
-            ids, rank = np.unique(doc[a:b], return_inverse=True)
-            gaps = np.diff(h[a:b], prepend=h[a])
-            w, v = _width(gaps), _width(rank)
-            for column, x in zip(rows, (k, None, b - a, np.array([w, v, len(ids), h[a]], np.uint64).tobytes(), _pack(gaps, w), _pack(rank, v), pa.compress(ids.astype(np.int64).tobytes(), codec="zstd", asbytes=True)), strict=True):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, fields, strict=True)], schema=fields)
+            keep[1:] &= (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])  # repeats within a document
+            h, doc = h[keep], doc[keep]
+        edges = np.searchsorted(h, np.array([min(k * step, (1 << 64) - 1) for k in range(1, buckets)], np.uint64)).tolist()
+        rows = []
+        for k, (a, b) in enumerate(zip([0, *edges], [*edges, len(h)], strict=True)):
+            if a < b:
+                ids, rank = np.unique(doc[a:b], return_inverse=True)
+                gaps = np.diff(h[a:b], prepend=h[a])
+                w, v = _width(gaps), _width(rank)
+                head = np.array([w, v, len(ids), h[a]], np.uint64).tobytes()
+                rows.append((k, b - a, _squeeze(ids), _pack(gaps, w), _pack(rank, v), head))
+        yield _batch(rows, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, docs, held = [], [], 0
         for batch in batches:
-            ids = batch.column(0).fill_null(_LAST).to_numpy()
+            ids = batch.column(0).to_numpy()
             for a, b in pieces(batch.column(1)):
                 data, starts, ends, row = word_spans(batch.column(1).slice(a, b - a))
                 h, first = window_hashes(hash_spans(data, starts, ends), row, window)
@@ -139,44 +147,39 @@ def _index_blocks(window: int, buckets: int):
     return run
 
 
-def _lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a bucket, or of some buckets, to hits."""
-    fields = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary()), ("refs", pa.binary())])
-    held: dict[int, list] = {}
-    for batch in batches:
-        through = batch.filter(pc.is_valid(batch.column(1)))
-        if len(through):
-            yield pa.RecordBatch.from_arrays([through.column(1), through.column(4), through.column(6)], schema=fields)
-        for bucket, doc_id, n, head, hashes, docs, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if doc_id is None:
+def _lookup(buckets: int):
+    """The index blocks of a bucket, or of some buckets, to hits; hits that are there already go through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            index = pc.is_valid(batch.column(5))
+            known = batch.filter(pc.invert(index))
+            if len(known):
+                yield pa.RecordBatch.from_arrays(known.columns[:5], schema=_HIT_FIELDS)
+            for bucket, n, ids, gaps, rank, head in zip(*(c.to_pylist() for c in batch.filter(index).columns), strict=True):
                 w, v, k, start = (int(x) for x in np.frombuffer(head, np.uint64))
-                h = np.cumsum(_unpack(hashes, n, w)) + np.uint64(start)
-                known = np.frombuffer(pa.decompress(ids, k * 8, codec="zstd", asbytes=True), np.int64)
-                held.setdefault(bucket, []).append((h, known[_unpack(docs, n, v).astype(np.int64)]))
-    while held:
-        parts = held.popitem()[1]
-        h, doc = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-        del parts
-        order = np.argsort(h)
-        h, doc = h[order], doc[order]
-        member, dm, least = _repeats(h, doc)
-        if len(member) and (hit := dm > least).any():
-            columns = _hit_columns(dm[hit], h[member][hit], least[hit])
-            step = 20_000
-            for a in range(0, len(columns[0]), step):
-                yield pa.RecordBatch.from_arrays([c.slice(a, step) for c in columns], schema=fields)
+                h = np.cumsum(_unpack(gaps, n, w)) + np.uint64(start)
+                held.setdefault(bucket, []).append((h, _expand(ids, k)[_unpack(rank, n, v).astype(np.int64)]))
+        while held:
+            parts = held.popitem()[1]
+            h, doc = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+            del parts
+            order = np.argsort(h)
+            h, doc = h[order], doc[order]
+            member, dm, least = _repeats(h, doc)
+            if len(member) and (hit := dm > least).any():
+                yield _batch(list(_hit_blocks(dm[hit], h[member][hit], least[hit], buckets)), _HIT_FIELDS)
+
+    return run
 
 
 def _parse(window: int):
     factor = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("ref", pa.int64())])
 
-    def of(words: list[bytes], text: str, hits: list[dict]) -> tuple[bytes, int, list]:
+    def of(words: list[bytes], text: str, found: np.ndarray, refs: np.ndarray) -> tuple[bytes, int, list]:
         data, starts, ends, row = word_spans(pa.array([text]))
         h, first = window_hashes(hash_spans(data, starts, ends), row, window)
-        found = np.zeros((sum(len(x["hashes"]) for x in hits) // 6, 8), np.uint8)
-        found[:, :6] = np.frombuffer(b"".join(x["hashes"] for x in hits), np.uint8).reshape(-1, 6)
-        found = found.reshape(-1).view(np.uint64)
-        refs = np.frombuffer(b"".join(x["refs"] for x in hits), np.int64)
         order = np.lexsort((refs, found))
         found, refs = found[order], refs[order]
         low = h & np.uint64((1 << 48) - 1)
@@ -196,15 +199,31 @@ def _parse(window: int):
         return b" ".join(compress(words, ~covered)), int(covered.sum()), factors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hits first, then the texts they are for."""
+        held, doc, h, refs = [], np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for a, b in pieces(batch.column(1)):
+            is_text = batch.column(0)
+            for n, docs, hashes, ref in zip(*(c.to_pylist() for c in batch.filter(pc.invert(is_text)).columns[4:]), strict=True):
+                held.append((_expand(docs, n), np.frombuffer(hashes, np.uint8).reshape(-1, 6), _expand(ref, n)))
+            batch = batch.filter(is_text)
+            if held and len(batch):
+                doc = np.concatenate([x[0] for x in held])
+                wide = np.zeros((len(doc), 8), np.uint8)
+                np.concatenate([x[1] for x in held], out=wide[:, :6])
+                refs, h = np.concatenate([x[2] for x in held]), wide.reshape(-1).view(np.uint64)
+                held = []
+                order = np.argsort(doc, kind="stable")
+                doc, h, refs = doc[order], h[order], refs[order]
+            for a, b in pieces(batch.column(3)):
                 part = batch.slice(a, b - a)
+                ids = part.column(1).to_numpy()
+                lo, hi = np.searchsorted(doc, ids).tolist(), np.searchsorted(doc, ids, "right").tolist()
                 kept, n_words, n_removed, factors = [], [], [], []
-                for text, hits in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for text, i, j in zip(part.column(3).to_pylist(), lo, hi, strict=True):
                     words = (text or "").encode().split()
-                    out, n, f = of(words, text, hits) if hits else (b" ".join(words), 0, [])
+                    out, n, f = of(words, text, h[i:j], refs[i:j]) if i < j else (b" ".join(words), 0, [])
                     kept.append(out), n_words.append(len(words)), n_removed.append(n), factors.append(f)
-                columns = [part.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(factors, pa.list_(factor))]
+                columns = [part.column(2), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(factors, pa.list_(factor))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "kept_text", "n_words", "n_removed", "factors"])
 
     return run
@@ -213,12 +232,15 @@ def _parse(window: int):
 def relative_parse(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, kept_text (words joined by a space), n_words, n_removed and the duplicate factors (start, n, ref) in words."""
     n = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = rows.mapInArrow(_index_blocks(window, n), _BLOCKS).repartitionById(n, F.col("bucket"))
-    hits = blocks.mapInArrow(_lookup, _HITS).groupBy("doc_id").agg(F.collect_list(F.struct("hashes", "refs")).alias("hits"))
-    joined = rows.withColumn("key", F.coalesce("doc_id", F.lit(_LAST))).join(hits.withColumnRenamed("doc_id", "key"), "key", "left")
+    doc_id = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(doc_id, F.lit(_LAST)).alias("key"), doc_id.alias("doc_id"), F.col(text_col).alias("text"))
+    blocks = rows.select("key", "text").mapInArrow(_index_blocks(window, n), _BLOCKS).repartitionById(n, F.col("bucket"))
+    hits = blocks.mapInArrow(_lookup(n), _HITS).withColumn("is_text", F.lit(False))
+    dealt = F.pmod(F.pmod(F.pmod("key", F.lit(_MOD).cast("long")) * _TIMES, F.lit(_MOD).cast("long")), F.lit(n)).cast("int")
+    both = rows.select("*", dealt.alias("bucket"), F.lit(True).alias("is_text")).unionByName(hits, allowMissingColumns=True)
+    both = both.repartitionById(n, F.col("bucket")).sortWithinPartitions("is_text")
     schema = "doc_id long, kept_text string, n_words long, n_removed long, factors array<struct<start:int,n:int,ref:long>>"
-    return joined.select("doc_id", "text", "hits").mapInArrow(_parse(window), schema)
+    return both.select("is_text", "key", "doc_id", "text", "n", "docs", "hashes", "refs").mapInArrow(_parse(window), schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
