@@ -1,8 +1,9 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import exact_dedup, mixing, simhash_dedup, substring_dedup
+from . import exact_dedup, mixing, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
