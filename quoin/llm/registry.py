@@ -1,8 +1,9 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import exact_dedup, mixing, simhash_dedup, substring_dedup, toxicity
+from . import exact_dedup, line_dedup, mixing, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
@@ -10,6 +11,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op2_line_dedup": line_dedup.SQL,
     "op4_mixing": mixing.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,

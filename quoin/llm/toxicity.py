@@ -5,7 +5,7 @@ to estimate the class prior. Features are word and word-prefix frequencies of th
 their log lift in the confirmed texts), and its length. A linear classifier minimises the logistic loss's risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)):
 where a batch drives the bracket below zero, the step goes against it, as a flexible model would else fit the unlabelled
-toxic texts as clean.
+toxic texts as clean. The bias is set last, so that SHARE * prior of the unlabelled training texts reach THRESHOLD.
 
 Vocabulary counts and training rows come from at most MAX_POSITIVE confirmed and MAX_UNLABELLED other texts of the training
 split, those with the smallest seeded hashes, written once to the shared folder; only sums per feature and the sparse rows
@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ PREFIXES = (4, 5, 6, 7)
 SUPPORT, SMOOTH, LIFT = 2.0, 2.0, 1.0
 EPOCHS, BATCHES, RATE, L2, SEED = 60, 10, 0.02, 2e-3, 11
 THRESHOLD = 0.7
+#: Share of the prior's share of unlabelled texts that reaches THRESHOLD: below 1, as clean texts should stay.
+SHARE = 0.88
 _EDGE = ".,;:!?%$&*#|\"'()[]{}<>-_"
 
 
@@ -83,7 +86,7 @@ class Model:
                 for x in known:
                     found[x] = found.get(x, 0) + n
             w, mean, spread = self.length
-            z[i] = self.bias + w * (np.log1p(len(words)) - mean) / spread + sum(get(x) * np.log1p(n) for x, n in found.items())
+            z[i] = self.bias + w * (log1p(len(words)) - mean) / spread + sum(get(x) * log1p(n) for x, n in found.items())
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -140,7 +143,7 @@ def _sums(known: set[str] | None):
             for text in batch.column(0):
                 for x, n in features(text.as_py() or "")[0].items():
                     if known is None or x in known:
-                        total[x] += float(np.log1p(n))
+                        total[x] += log1p(n)
                 if len(total) > 200_000:
                     yield out()
                     total.clear()
@@ -155,7 +158,7 @@ def _sparse(number: dict[str, int]):
             rows = []
             for key, positive, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found, n = features(text or "")
-                kept = [(number[x], float(np.log1p(k))) for x, k in found.items() if x in number]
+                kept = [(number[x], log1p(k)) for x, k in found.items() if x in number]
                 rows.append({"key": key, "positive": positive, "words": n, "index": [i for i, _ in kept], "value": [v for _, v in kept]})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("positive", pa.bool_()), ("words", pa.int32()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]))
 
@@ -197,7 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     value = got["value"].combine_chunks().flatten().to_numpy() * scale[index]
     words = np.log1p(got["words"].to_numpy())
     mean, spread = float(words.mean()), float(words.std()) or 1.0
-    w, (bias, length) = fit_nnpu((index, value, ends), (words - mean) / spread, got["positive"].to_numpy(), len(vocabulary), prior)
+    dense, positive = (words - mean) / spread, got["positive"].to_numpy()
+    w, (bias, length) = fit_nnpu((index, value, ends), dense, positive, len(vocabulary), prior)
+    z = np.bincount(np.repeat(np.arange(len(dense)), np.diff(ends)), w[index] * value, len(dense)) + bias + length * dense
+    bias += log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(z[~positive], 1 - SHARE * prior)
     return Model(prior, {x: float(a * s) for x, a, s in zip(vocabulary, w, scale, strict=True)}, float(bias), (float(length), mean, spread))
 
 

@@ -54,8 +54,8 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int]]:
         first = min(last, len(column))
 
 
-def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all texts (null: none), each word's start and end in them, and each word's row."""
+def word_spans(column: pa.Array, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts (null: none), each word's start and end in them, and each word's row; breaks: which bytes end words."""
     column = column.cast(pa.large_string()).fill_null("")
     column = pa.concat_arrays([column]) if column.offset else column
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -65,7 +65,7 @@ def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         return np.zeros(0, np.uint8), none, none, none
     data = np.frombuffer(column.buffers()[2], np.uint8, hi - lo, lo)
     offsets = offsets - lo
-    space = _SPACE[data]
+    space = breaks[data]
     before = np.ones(len(data) + 1, bool)
     before[1:] = space
     before[offsets] = True
@@ -77,12 +77,6 @@ def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return data, starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, row of each word), in order."""
-    data, starts, ends, row = word_spans(column)
-    return hash_spans(data, starts, ends), row
-
-
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
