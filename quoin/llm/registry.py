@@ -1,6 +1,6 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import exact_dedup, line_dedup, mixing, simhash_dedup, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, line_dedup, mixing, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
