@@ -1,6 +1,6 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import chat_format, decontaminate, exact_dedup, line_dedup, mixing, simhash_dedup, substring_dedup, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, line_dedup, mixing, pii, simhash_dedup, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_pii": pii.op7_pii,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
