@@ -1,0 +1,120 @@
+import hashlib
+import re
+
+import pytest
+
+from quoin.llm import chat_format, exact_dedup, pii, simhash_dedup, url_filter
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _luhn(digits):
+    doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(x - 9 if x > 9 else x for x in doubled) % 10 == 0
+
+
+def _base(text):
+    out = []
+    for i, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 14 <= len(d) <= 19 and _luhn(d), "phone": lambda: 10 <= len(d) <= 15}[kind]():
+                out.append((m.start(), i, m.end()))
+    return sorted(out)
+
+
+TEXTS = [None, "", "a@b.c_d@e.f 1.2.3.4.5.6.7.8 1.2.3.999 a@b.c.", "x+1 (743) 555-3824, 4785380592391139 4785 3805 9239 1139 é😀 q@w.e", "9" * 5000 + " " + "a" * 5000 + "@", "0010.0.0.0255 1.1.1.1"]
+
+
+def test_base_spans_equal_brute_force(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    got = {r.doc_id: [(b.start, b.kind, b.end) for b in r.base] for r in pii.find_pii(df).collect()}
+    assert got == {i: _base(t) for i, t in enumerate(TEXTS)}
+
+
+def test_contexts_of_seeds_find_an_unseen_identifier(spark):
+    rows = [(i, f"bla write to login user{i}@ex.org now") for i in range(20)] + [(100, "é😀 bla write to login jdoe-4711x, ok"), (101, "version of 12345-678x")]
+    got = {r.doc_id: [(f.start, f.end, f.what) for f in r.found] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == [(22, 32, "jdoe-4711x")] and got[101] == [] and got[3] == []
+
+
+def test_pii_of_an_empty_table(spark):
+    assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string, row string")).count() == 0
+
+
+def test_blocks_reach_aliases_and_allows_come_first(spark):
+    link = '<head><link rel="canonical" href="{}"></head>'
+    rows = [
+        (1, "http://A.com/en/1", None), (2, "https://b.info/x#f", link.format("http://a.com/en/1")), (3, "http://c.info/y", link.format("//b.info/x")),
+        (4, "http://d.info/z", link.format("http://example.com/en/7")), (5, "http://e.info/", link.format("http://d.info/z")), (6, "http://f.info/a/b", link.format("../q")),
+        (7, None, link.format("http://a.com/en/1")), (8, "no scheme", ""), (9, "http://example.com/en/71", link.format("http://a.com/en/1")), (1, "http://A.com/en/1", None),
+        (10, "http://g.info/", "<meta http-equiv='refresh' content='0; url=http://h.org/es/'>"), (11, "http://sub.net/de/8", None), (12, "http://x.example.net/de/8?q", None),
+    ]
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    verdicts = sorted((r.page_id, r.rule, r.verdict) for r in got if r.page_id not in (2, 3, 9))
+    # pages 1, 2, 3 and 9 are one component, which holds a url that is allowed by a rule: its free pages are not blocked
+    assert {r.page_id: r.verdict for r in got if r.page_id in (2, 3, 9)} == {2: "allow", 3: "allow", 9: "allow"}
+    assert [(a, c) for a, _, c in sorted(verdicts, key=lambda v: v[0])] == [(1, "block"), (1, "block"), (4, "allow"), (5, "allow"), (6, "allow"), (7, "allow"), (8, "allow"), (10, "block"), (11, "allow"), (12, "block")]
+    free = url_filter.url_filter(spark.createDataFrame([r for r in rows if r[0] != 9], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in free if r.page_id in (1, 2, 3)} == {1: "block", 2: "block", 3: "block"}
+
+
+@pytest.mark.parametrize("turns", [[], [("", "")], [("user", r"\### Assistant: </turn> ok"), ("assistant", "\\\\### \\</turn>\n### User: ")], [("a: b\\###", "####</turn></turn>\n"), ("assistant", "\\")]])
+def test_formatted_turns_read_back(turns):
+    text, mask = chat_format.format_turns(turns)
+    assert chat_format.read_turns(text) == turns
+    assert [chat_format.unescape(text[a:b]) for a, b in mask] == [t for r, t in turns if r == "assistant"]
+
+
+def test_best_branch_of_each_tree(spark):
+    rows = [
+        (1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "more", 0.9), (1, 5, 4, "assistant", "end", 0.9),
+        (2, 1, 2, "user", "loop", 1.0), (2, 2, 1, "user", "loop", 1.0), (2, 3, 2, "user", "below", 1.0), (None, 1, 9, "user", None, None), (3, 1, None, None, "x", None),
+    ]
+    paths = chat_format.best_paths(spark.createDataFrame(rows, "tree long, id long, parent long, role string, text string, score double"), keep=2)
+    got = {}
+    for r in sorted(paths.collect(), key=lambda r: -r.back):
+        got.setdefault((r.tree, r["rank"]), []).append(r.text)
+    assert got == {(1, 1): ["q", "good", "more", "end"], (1, 2): ["q", "bad"], (None, 1): [None], (3, 1): ["x"]}
+
+
+def test_repeated_turns_are_all_kept(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a")] * 2 + [(1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    row = chat_format.digest(chat_format.format_paths(chat_format.best_paths(chat_format.conversations(df)))).first()
+    assert row.n_turns == 3 and row.turns_sha256 == hashlib.sha256(b"user\na\nuser\na\nassistant\n\n").hexdigest() and row.loss_chars == 0
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (4, None), (5, " ")], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df, hash128=lambda c: F.lit("same")).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (5, 2), 5: (5, 2)}
+
+
+def test_fingerprints_within_the_distance_link(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = simhash_dedup.near_duplicates(df).collect()
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in rows}
+    parent = {i: i for i in prints}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(prints)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert {r.doc_id: r.component_id for r in rows} == {i: root(i) for i in ids}
+
+
+def test_pipeline_runs_and_keeps_ids(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = [r.doc_id for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id").collect()]
+    assert 0 < len(got) < docs.count() and len(set(got)) == len(got)
