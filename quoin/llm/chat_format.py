@@ -2,17 +2,19 @@
 
 Messages point to their parents. Pointer doubling joins the parent table with itself, so a path of n messages takes about
 log2(n) joins; messages on or below a cycle never reach a root and belong to no path. The same tables then enumerate the
-ancestors of each leaf that its tree keeps. Branches are ranked by the mean score of their messages, then by leaf; the best
-`keep` per tree stay, found with a partial limit before the shuffle.
+ancestors of each leaf. Branches are ranked by the mean score of their messages, then by leaf; the best `keep` per tree stay.
+All of this reads ids and scores only. Texts move once, by tree, to where the kept paths of their tree are, in order of
+message; a task holds the kept texts of one tree at a time, which is about what it writes for it.
 
 Template: `### ROLE: TEXT</turn>\\n` per turn. In roles and texts a backslash goes before each backslash, `###` and `</turn>`, in
 roles also before `: `, so what is written can be read back exactly. The loss mask is a list of code point ranges of the
 formatted text: the texts of assistant turns.
 
 Defined results: null role or text counts as empty; a null conversation id is a conversation of its own; a parent that does
-not exist makes a root; rows that repeat a message id in a tree are kept once, the smallest by role and text (conversations()
-numbers repeated turns apart, so none of them is lost); a tree without a root gives no row; empty tables give an empty result; other
-columns are not read. A message without score counts as 0.
+not exist makes a root; rows that repeat a message id are turns of one message, in order of role and text; its parent
+is the smallest, its score the largest; a message with null id is left out; a null turn of a linear conversation comes
+first; a tree without a root gives no row; empty tables give an empty result; other columns are not read. A message
+without score counts as 0.
 """
 
 from __future__ import annotations
@@ -63,12 +65,12 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Linear conversations as reply trees, each turn a reply to the one before: tree, id, parent, role, text, score."""
-    out = rows.select(F.col(conv_col).alias("tree"), F.col(turn_col).alias("turn_"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    order = Window.partitionBy("tree").orderBy("turn_", "role", "text")
-    out = out.withColumn("id", F.row_number().over(order).cast("long"))
-    return out.select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Linear conversations as reply trees, each turn a reply to the one before: links (tree, id, parent, score) and texts (tree, id, role, text)."""
+    turn = F.coalesce(F.col(turn_col).cast("long"), F.lit(-(2**63)))
+    texts = rows.select(F.col(conv_col).alias("tree"), turn.alias("id"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    before = F.lag("id").over(Window.partitionBy("tree").orderBy("id"))
+    return texts.select("tree", "id").distinct().select("tree", "id", before.alias("parent"), F.lit(0.0).alias("score")), texts
 
 
 def _jump(left: DataFrame, table_: DataFrame) -> DataFrame:
@@ -77,15 +79,15 @@ def _jump(left: DataFrame, table_: DataFrame) -> DataFrame:
     return left.join(t, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")))
 
 
-def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
-    """messages: tree, id, parent, role, text, score. One row per message of a kept path: tree, leaf, rank, back (0 at the leaf), role, text."""
-    messages = messages.where("id IS NOT NULL").groupBy("tree", "id").agg(F.min(F.struct("role", "text", "parent", "score")).alias("m")).select("tree", "id", "m.*")
-    messages = materialize(messages.withColumns({"score": F.coalesce(F.col("score").cast("double"), F.lit(0.0))}))
-    known = messages.select(F.col("tree").alias("t"), F.col("id").alias("i"))
-    links = messages.select("tree", "id", F.col("parent").alias("up")).join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")), "left_semi")
-    parents = messages.select("tree", F.col("parent").alias("id")).where("id IS NOT NULL").distinct()
-    leaves = messages.select("tree", "id").join(parents.select(F.col("tree").alias("t"), F.col("id").alias("i")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i")), "left_anti")
-    pointers, total = [materialize(links)], messages.count()
+def best_paths(links: DataFrame, keep: int = 1) -> DataFrame:
+    """links: tree, id, parent, score. One row per message of a kept path: tree, leaf, rank, back (0 at the leaf), id."""
+    links = links.where("id IS NOT NULL").groupBy("tree", "id").agg(F.min("parent").alias("parent"), F.max(F.coalesce(F.col("score").cast("double"), F.lit(0.0))).alias("score"))
+    links = materialize(links)
+    known = links.select(F.col("tree").alias("t"), F.col("id").alias("i"))
+    ups = links.select("tree", "id", F.col("parent").alias("up")).join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")), "left_semi")
+    parents = links.select(F.col("tree").alias("t"), F.col("parent").alias("i")).where("i IS NOT NULL").distinct()
+    leaves = links.select("tree", "id").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i")), "left_anti")
+    pointers, total = [materialize(ups)], links.count()
     while not pointers[-1].isEmpty() and 2 ** (len(pointers) - 1) < total:
         pointers.append(materialize(_jump(pointers[-1], pointers[-1]).select("tree", "id", F.col("next").alias("up"))))
     rooted = leaves
@@ -98,28 +100,51 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
             break  # empty, or only messages that reach no root
         more = _jump(paths, pointer).select("tree", "leaf", F.col("next").alias("up"), (F.col("back") + 2**k).alias("back"))
         paths = materialize(paths.unionByName(more))
-    m = messages.select(F.col("tree").alias("t"), F.col("id").alias("i"), "role", "text", "score")
-    full = paths.join(m, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i"))).drop("t", "i", "up")
-    marks = full.groupBy("tree", "leaf").agg(F.avg("score").alias("s"))
+    scores = links.select(F.col("tree").alias("t"), F.col("id").alias("i"), "score")
+    marks = paths.join(scores, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i"))).groupBy("tree", "leaf").agg(F.avg("score").alias("s"))
     ranked = marks.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.col("s").desc(), "leaf"))).where(F.col("rank") <= keep)
     kept = ranked.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "rank")
-    return full.join(kept, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l"))).drop("t", "l", "score")
+    return paths.join(kept, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l"))).select("tree", "leaf", "rank", "back", F.col("up").alias("id"))
 
 
-def format_paths(paths: DataFrame) -> DataFrame:
-    """One row per path: tree, rank, formatted, loss_mask (start, end)."""
-    turns = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "role", "text")))
-    grouped = paths.groupBy("tree", "leaf", "rank").agg(turns.alias("turns")).select("tree", "rank", "turns")
-    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-    schema = "tree long, rank int, formatted string, loss_mask array<struct<start:int,end:int>>"
+_FORMATTED = pa.schema([("tree", pa.int64()), ("rank", pa.int32()), ("formatted", pa.string()), ("loss_mask", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tree, id, is_text, leaf, rank, back, role, text) in order of the first three to formatted paths."""
+    tree, at, here, turns = None, None, [], {}
+
+    def finished() -> list[dict]:
+        out = []
+        for (rank, _), rows in sorted(turns.items()):
+            text, mask = format_turns([r[1:] for r in sorted(rows)])
+            out.append({"tree": tree, "rank": rank, "formatted": text, "loss_mask": [{"start": a, "end": b} for a, b in mask]})
+        turns.clear()
+        return out
+
+    for batch in batches:
+        out = []
+        for t, i, is_text, leaf, rank, back, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if t != tree:
+                out += finished()
+                tree, at, here = t, None, []
+            if i != at:
+                at, here = i, []
+            if not is_text:
+                here.append((leaf, rank, back))
+            else:
+                for of, r, b in here:
+                    turns.setdefault((r, of), []).append((-b, role, text))
+        yield pa.RecordBatch.from_pylist(out, schema=_FORMATTED)
+    yield pa.RecordBatch.from_pylist(finished(), schema=_FORMATTED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [format_turns([(t["role"], t["text"]) for t in row]) for row in batch.column(2).to_pylist()]
-            mask = pa.array([[{"start": a, "end": b} for a, b in m] for _, m in done], pa.list_(span))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array([f for f, _ in done], pa.string()), mask], names=["tree", "rank", "formatted", "loss_mask"])
 
-    return grouped.mapInArrow(run, schema)
+def format_paths(paths: DataFrame, texts: DataFrame) -> DataFrame:
+    """paths: as best_paths() gives them; texts: tree, id, role, text. One row per path: tree, rank, formatted, loss_mask (start, end)."""
+    steps = paths.select("tree", "id", F.lit(False).alias("is_text"), "leaf", "rank", "back")
+    rows = texts.select("tree", "id", F.lit(True).alias("is_text"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    both = steps.unionByName(rows, allowMissingColumns=True).repartition("tree").sortWithinPartitions("tree", "id", "is_text")
+    return both.mapInArrow(_assembled, "tree long, rank int, formatted string, loss_mask array<struct<start:int,end:int>>")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
@@ -146,7 +171,8 @@ EXTRA = r"\### Assistant: </turn> ok"
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA).alias("text"))
-    return digest(format_paths(best_paths(conversations(rows.unionByName(extra)))))
+    links, texts = conversations(rows.unionByName(extra))
+    return digest(format_paths(best_paths(links), texts))
 
 
 SQL = r"""

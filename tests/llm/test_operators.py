@@ -71,16 +71,16 @@ def test_best_branch_of_each_tree(spark):
         (1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "more", 0.9), (1, 5, 4, "assistant", "end", 0.9),
         (2, 1, 2, "user", "loop", 1.0), (2, 2, 1, "user", "loop", 1.0), (2, 3, 2, "user", "below", 1.0), (None, 1, 9, "user", None, None), (3, 1, None, None, "x", None),
     ]
-    paths = chat_format.best_paths(spark.createDataFrame(rows, "tree long, id long, parent long, role string, text string, score double"), keep=2)
-    got = {}
-    for r in sorted(paths.collect(), key=lambda r: -r.back):
-        got.setdefault((r.tree, r["rank"]), []).append(r.text)
-    assert got == {(1, 1): ["q", "good", "more", "end"], (1, 2): ["q", "bad"], (None, 1): [None], (3, 1): ["x"]}
+    df = spark.createDataFrame(rows, "tree long, id long, parent long, role string, text string, score double")
+    done = chat_format.format_paths(chat_format.best_paths(df, keep=2), df).collect()
+    got = {(r.tree, r["rank"]): [t for _, t in chat_format.read_turns(r.formatted)] for r in done}
+    assert len(done) == 4 and got == {(1, 1): ["q", "good", "more", "end"], (1, 2): ["q", "bad"], (None, 1): [""], (3, 1): ["x"]}
 
 
 def test_repeated_turns_are_all_kept(spark):
     df = spark.createDataFrame([(1, 0, "user", "a")] * 2 + [(1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
-    row = chat_format.digest(chat_format.format_paths(chat_format.best_paths(chat_format.conversations(df)))).first()
+    links, texts = chat_format.conversations(df)
+    row = chat_format.digest(chat_format.format_paths(chat_format.best_paths(links), texts)).first()
     assert row.n_turns == 3 and row.turns_sha256 == hashlib.sha256(b"user\na\nuser\na\nassistant\n\n").hexdigest() and row.loss_chars == 0
 
 
