@@ -1,0 +1,36 @@
+"""Seeded splits, balancing and pairing without replacement. Order is by md5 of seed and key, so reruns agree."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+
+def seeded_order(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
+def stratified_split(df: DataFrame, stratum: str, key: str, test_percent: int, seed: int = 0) -> DataFrame:
+    """df with part: of each stratum floor(percent) rows are test, the others train."""
+    w = Window.partitionBy(stratum)
+    rank = F.row_number().over(w.orderBy(seeded_order(key, seed), key))
+    return df.withColumn("part", F.when(rank * 100 <= F.count("*").over(w) * test_percent, "test").otherwise("train"))
+
+
+def balanced(df: DataFrame, label: str, order: list[str]) -> DataFrame:
+    """The first rows of each label, as many as the smallest label has."""
+    least = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("__least"))
+    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    # one row
+    return ranked.join(F.broadcast(least)).where("__rank <= __least").drop("__rank", "__least")
+
+
+def pair_off(a: DataFrame, b: DataFrame, by: str, key: str, seed: int = 0) -> DataFrame:
+    """by, a, b: each row of a with one row of b of the same `by`, no row of b used twice; rows without partner are left out."""
+    ranked = lambda df, name: df.select(by, F.col(key).alias(name), F.row_number().over(Window.partitionBy(by).orderBy(seeded_order(key, seed), key)).alias("__n"))
+    return ranked(a, "a").join(ranked(b, "b"), [by, "__n"]).drop("__n")
+
+
+def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per key, that with the largest order."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("__r")).select(key, "__r.*")
