@@ -118,3 +118,74 @@ def test_pipeline_runs_and_keeps_ids(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = [r.doc_id for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id").collect()]
     assert 0 < len(got) < docs.count() and len(set(got)) == len(got)
+
+
+def _tokens(text):
+    return [t for t in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").lower()) if t]
+
+
+def _coverage(doc, item, seed=5):
+    """Share of the item's tokens under greedy tiles, by looking at every pair of places in every round."""
+    least, used, done = min(seed, len(item)), set(), set()
+    places = {}
+    for i, t in enumerate(doc):
+        places.setdefault(t, []).append(i)
+    while item:
+        found = []
+        for b, t in enumerate(item):
+            for a in places.get(t, ()):
+                k = 0
+                while a + k < len(doc) and b + k < len(item) and doc[a + k] == item[b + k] and a + k not in used and b + k not in done:
+                    k += 1
+                found.append((-k, a, b))
+        longest = -min(found, default=(0,))[0]
+        if longest < least:
+            break
+        for k, a, b in sorted(f for f in found if f[0] == -longest):
+            if not used.intersection(range(a, a - k)) and not done.intersection(range(b, b - k)):
+                used.update(range(a, a - k)), done.update(range(b, b - k))
+    return len(done) / len(item) if item else 0.0
+
+
+def test_tiling_equals_brute_force(spark):
+    from quoin.llm import decontaminate
+
+    items = [(1, "one two three four five six seven eight nine ten"), (2, "short item"), (3, None), (4, ""), (5, "a b a b a b a b a b"), (None, "x1 x2 x3 x4 x5")]
+    docs = [
+        (1, "pad six, seven eight nine ten; then One two three four five pad"), (2, "one two three four pad five six seven eight nine ten"), (3, None), (4, " "), (5, "a b a b a b a b a b a b"),
+        (6, "here is a short item in it"), (7, "short pad item"), (8, "x1 x2 x3 x4 x5"), (8, "x1 x2 x3 x4 x5"), (9, "a b a b a pad b a b a b"), (None, "one two three four five six seven eight pad " * 3),
+    ]
+    sf = "/root/testdata/sf0.001"
+    docs += [(r.doc_id + 1000, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text or "") < 5000]
+    items += [(r.item_id + 1000, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = []
+    for d, text in docs:
+        doc = _tokens(text)
+        for i, item in items:
+            tokens = _tokens(item)
+            if set(tokens) & set(doc) and (share := _coverage(doc, tokens)) >= 0.8:
+                want.append((str(d), str(i), round(share, 6)))
+    assert len(want) > 6 and sorted((str(r.doc_id), str(r.item_id), round(r.coverage, 6)) for r in got) == sorted(want)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    from quoin.llm import toxicity
+
+    sf = "/root/testdata/sf0.1"
+    scored = {r.doc_id: r for r in toxicity.op3_toxicity(spark, sf).where("held_out").collect()}
+    pairs = [(scored[r.doc_id].score, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").collect() if r.doc_id in scored]
+    bad, good = [s for s, t in pairs if t == 1], [s for s, t in pairs if t == 0]
+    auc = sum((a > b) + (a == b) / 2 for a in bad for b in good) / (len(bad) * len(good))
+    flagged = [t for s, t in pairs if s >= toxicity.THRESHOLD]
+    print(f"auc {auc:.4f}, flagged {len(flagged)}, precision {sum(flagged) / max(1, len(flagged)):.4f}, recall {sum(flagged) / len(bad):.4f} of {len(bad)}")
+    assert auc > 0.9 and sum(flagged) > 0.8 * len(flagged)
+
+
+def test_toxicity_without_positives_or_rows(spark):
+    from quoin.llm import toxicity
+
+    labels = spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(1, "a", "x"), (None, None, "y")], "doc_id long, text string, score_ string")
+    for d in (docs, docs.where("false")):
+        assert [r.score for r in toxicity.score(d, toxicity.train(d, labels)).collect()] == [0.0] * d.count()
