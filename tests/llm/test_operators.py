@@ -189,3 +189,63 @@ def test_toxicity_without_positives_or_rows(spark):
     docs = spark.createDataFrame([(1, "a", "x"), (None, None, "y")], "doc_id long, text string, score_ string")
     for d in (docs, docs.where("false")):
         assert [r.score for r in toxicity.score(d, toxicity.train(d, labels)).collect()] == [0.0] * d.count()
+
+
+def _near_texts():
+    """Texts at similarities around 0.8 of each other, a large group of near copies, and odd ones."""
+    import random
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    out = [None, "", "  ", "one two", "One  two", "one two three four five"]
+    for _ in range(40):
+        base = [word() for _ in range(r.randint(60, 200))]
+        out.append(" ".join(base))
+        for _ in range(2):
+            copy = list(base)
+            for _ in range(max(1, len(base) // r.choice([40, 50, 60, 80]))):
+                copy[r.randrange(len(copy))] = word()
+            out.append(" ".join(copy))
+    base = [word() for _ in range(120)]
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(r.randint(0, 3)):
+            copy[r.randrange(len(copy))] = word()
+        out.append(" ".join(copy))
+    return out
+
+
+def _shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_equal_brute_force_jaccard(spark):
+    from quoin.llm import near_dedup
+
+    texts = _near_texts()
+    sets = [_shingle_set(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
+def test_pipeline_stage_drops_near_copies_at_0_8(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:50] + ["x"] + words[51:])), (3, " ".join(words[:30] + ["y", "y"] + words[32:70] + ["z"] + words[71:]))]
+    got = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").select("doc_id").collect()
+    assert [r.doc_id for r in got] == [1, 3]
