@@ -1,11 +1,14 @@
 """Toxicity scores from non-negative positive-unlabelled learning in numpy.
 
 Training data are confirmed toxic texts and texts drawn from the corpus regardless of label; non-toxic labels are used only
-to estimate the class prior. Features are word and word-prefix frequencies of the text alone (log(1 + count), weighted by
+to estimate the class prior and to calibrate. Features are word and word-prefix frequencies of the text alone (log(1 + count), weighted by
 their log lift in the confirmed texts), and its length. A linear classifier minimises the logistic loss's risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)):
 where a batch drives the bracket below zero, the step goes against it, as a flexible model would else fit the unlabelled
-toxic texts as clean. The bias is set last, so that SHARE * prior of the unlabelled training texts reach THRESHOLD.
+toxic texts as clean. The decision is calibrated last: a logistic curve over the decisions of fits
+on the other FOLDS - 1 folds, for labelled rows of the training split, both classes with the same weight.
+So a score is the probability of a toxic label where both are as frequent: the cut depends neither on the corpus's toxic share
+nor on that of the labels.
 
 Vocabulary counts and training rows come from at most MAX_POSITIVE confirmed and MAX_UNLABELLED other texts of the training
 split, those with the smallest seeded hashes, written once to the shared folder; only sums per feature and the sparse rows
@@ -21,7 +24,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log, log1p
+from functools import reduce
+from math import log1p
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +36,15 @@ from .common import materialize, table
 
 MAX_POSITIVE = 8000
 MAX_UNLABELLED = 16000
+#: Rows with a non-toxic label, for calibration.
+MAX_CLEAN = 8000
+FOLDS = 3
 PREFIXES = (4, 5, 6, 7)
 #: A feature counts if its values in confirmed texts sum to this, and its log lift exceeds LIFT.
 SUPPORT, SMOOTH, LIFT = 2.0, 2.0, 1.0
+POSITIVE, UNLABELLED, CLEAN = 1, 0, 2
 EPOCHS, BATCHES, RATE, L2, SEED = 60, 10, 0.02, 2e-3, 11
 THRESHOLD = 0.7
-#: Share of the prior's share of unlabelled texts that reaches THRESHOLD: below 1, as clean texts should stay.
-SHARE = 0.88
 _EDGE = ".,;:!?%$&*#|\"'()[]{}<>-_"
 
 
@@ -130,6 +137,20 @@ def fit_nnpu(x: tuple[np.ndarray, np.ndarray, np.ndarray], dense: np.ndarray, po
     return mean[:n], mean[n:]
 
 
+def _calibrate(z: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve of a toxic label over decisions: Newton steps, with a slight pull on the slope towards 1."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        d, h = weight * (q - positive), weight * np.maximum(q * (1 - q), 1e-6)
+        g = np.array([(d * z).sum() + 0.1 * (a - 1), d.sum()])
+        step = np.linalg.solve(np.array([[(h * z * z).sum() + 0.1, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]]), g)
+        a, b = np.array([a, b]) - np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(a), float(b)
+
+
 def _sums(known: set[str] | None):
     """Rows (positive, text) to per-task sums of log(1 + count) by feature."""
 
@@ -156,11 +177,11 @@ def _sparse(number: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, positive, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found, n = features(text or "")
                 kept = [(number[x], log1p(k)) for x, k in found.items() if x in number]
-                rows.append({"key": key, "positive": positive, "words": n, "index": [i for i, _ in kept], "value": [v for _, v in kept]})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("positive", pa.bool_()), ("words", pa.int32()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]))
+                rows.append({"key": key, "kind": kind, "fold": crc32((text or "").encode()) % FOLDS, "words": n, "index": [i for i, _ in kept], "value": [v for _, v in kept]})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("fold", pa.int32()), ("words", pa.int32()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]))
 
     return run
 
@@ -176,34 +197,57 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     key = F.xxhash64("id", F.lit(SEED))
     confirmed = rows.select("id").join(marks.where("label = 1"), "id").select("id").distinct().orderBy(key, "id").limit(MAX_POSITIVE)
     any_row = rows.select("id").distinct().orderBy(key, "id").limit(MAX_UNLABELLED)
-    chosen = confirmed.withColumn("positive", F.lit(True)).unionByName(any_row.withColumn("positive", F.lit(False)))
-    # at most MAX_POSITIVE + MAX_UNLABELLED ids
-    sample = materialize(rows.join(F.broadcast(chosen), "id").select("id", "positive", "text"))
+    clean = rows.select("id").join(marks.where("label = 0"), "id").select("id").distinct().orderBy(key, "id").limit(MAX_CLEAN)
+    kinds = {POSITIVE: confirmed, UNLABELLED: any_row, CLEAN: clean}
+    chosen = reduce(DataFrame.unionByName, (df.withColumn("kind", F.lit(k)) for k, df in kinds.items()))
+    # at most MAX_POSITIVE + MAX_UNLABELLED + MAX_CLEAN ids
+    sample = materialize(rows.join(F.broadcast(chosen), "id").select("id", "kind", "text"))
 
-    def sums(positive: bool, known: set[str] | None) -> DataFrame:
-        return sample.where(F.col("positive") == positive).select("text").mapInArrow(_sums(known), "feature string, value double").groupBy("feature").agg(F.sum("value").alias("value"))
+    def sums(kind: int, known: set[str] | None) -> DataFrame:
+        return sample.where(F.col("kind") == kind).select("text").mapInArrow(_sums(known), "feature string, value double").groupBy("feature").agg(F.sum("value").alias("value"))
 
-    counted = {positive: c for positive, c in sample.groupBy("positive").count().collect()}
-    if not counted.get(True) or not counted.get(False):
+    counted = {kind: c for kind, c in sample.groupBy("kind").count().collect()}
+    if not counted.get(POSITIVE) or not counted.get(UNLABELLED):
         return Model()
-    p = dict(sums(True, None).where(F.col("value") >= SUPPORT).collect())
-    u = dict(sums(False, set(p)).collect())
-    np_, nu = counted[True], counted[False]
+    p = dict(sums(POSITIVE, None).where(F.col("value") >= SUPPORT).collect())
+    u = dict(sums(UNLABELLED, set(p)).collect())
+    np_, nu = counted[POSITIVE], counted[UNLABELLED]
     lift = {x: float(np.log((v + SMOOTH * np_ / nu) / np_ / ((u.get(x, 0.0) + SMOOTH) / nu))) for x, v in p.items()}
     vocabulary = sorted(x for x, r in lift.items() if r > LIFT)
     if not vocabulary:
         return Model()
-    got = sample.select("id", "positive", "text").mapInArrow(_sparse({x: i for i, x in enumerate(vocabulary)}), "key long, positive boolean, words int, index array<int>, value array<double>").toArrow().sort_by([("positive", "ascending"), ("key", "ascending"), ("words", "ascending")])
+    got = sample.select("id", "kind", "text").mapInArrow(_sparse({x: i for i, x in enumerate(vocabulary)}), "key long, kind int, fold int, words int, index array<int>, value array<double>").toArrow().sort_by([("kind", "ascending"), ("key", "ascending"), ("words", "ascending")])
     ends = np.append(0, np.cumsum(np.array([len(x) for x in got["index"].to_pylist()], np.int64)))
     index = got["index"].combine_chunks().flatten().to_numpy()
     scale = np.array([lift[x] for x in vocabulary])
     value = got["value"].combine_chunks().flatten().to_numpy() * scale[index]
     words = np.log1p(got["words"].to_numpy())
-    mean, spread = float(words.mean()), float(words.std()) or 1.0
-    dense, positive = (words - mean) / spread, got["positive"].to_numpy()
-    w, (bias, length) = fit_nnpu((index, value, ends), dense, positive, len(vocabulary), prior)
-    z = np.bincount(np.repeat(np.arange(len(dense)), np.diff(ends)), w[index] * value, len(dense)) + bias + length * dense
-    bias += log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(z[~positive], 1 - SHARE * prior)
+    kind = got["kind"].to_numpy()
+    mean, spread = float(words[kind != CLEAN].mean()), float(words[kind != CLEAN].std()) or 1.0
+    dense = (words - mean) / spread
+
+    def fit(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = at[kind[at] != CLEAN]
+        taken = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in at])
+        x = index[taken], value[taken], np.append(0, np.cumsum(np.diff(ends)[at]))
+        return fit_nnpu(x, dense[at], kind[at] == POSITIVE, len(vocabulary), prior)
+
+    every, fold = np.arange(len(dense)), got["fold"].to_numpy()
+    row = np.repeat(every, np.diff(ends))
+    w, (bias, length) = fit(every)
+    z = np.zeros(len(dense))
+    for k in range(FOLDS):
+        rest = every[fold != k]
+        if (kind[rest] == POSITIVE).any() and (kind[rest] == UNLABELLED).any():
+            wk, (bk, lk) = fit(rest)
+        else:
+            wk, bk, lk = w, bias, length
+        z = np.where(fold == k, np.bincount(row, wk[index] * value, len(dense)) + bk + lk * dense, z)
+    marked = kind != UNLABELLED
+    if (kind == CLEAN).any():
+        of_class = {POSITIVE: 0.5 * marked.sum() / np_, CLEAN: 0.5 * marked.sum() / counted[CLEAN]}
+        slope, shift = _calibrate(z[marked], kind[marked] == POSITIVE, np.array([of_class[k] for k in kind[marked]]))
+        w, bias, length = w * slope, bias * slope + shift, length * slope
     return Model(prior, {x: float(a * s) for x, a, s in zip(vocabulary, w, scale, strict=True)}, float(bias), (float(length), mean, spread))
 
 

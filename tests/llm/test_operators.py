@@ -249,3 +249,24 @@ def test_pipeline_stage_drops_near_copies_at_0_8(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:50] + ["x"] + words[51:])), (3, " ".join(words[:30] + ["y", "y"] + words[32:70] + ["z"] + words[71:]))]
     got = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").select("doc_id").collect()
     assert [r.doc_id for r in got] == [1, 3]
+
+
+def test_toxicity_cut_does_not_follow_the_share_of_toxic_texts(spark):
+    import random
+
+    from quoin.llm import toxicity
+
+    r = random.Random(1)
+    mild, foul = [f"calm{i}" for i in range(300)], [f"foul{i}" for i in range(12)]
+
+    def text(toxic):
+        return " ".join(r.choices(mild, k=30) + (r.choices(foul, k=6) if toxic else []))
+
+    labelled = [(i, text(i % 5 == 0), int(i % 5 == 0)) for i in range(400)]
+    labels = spark.createDataFrame([(i, t) for i, _, t in labelled], "doc_id long, toxic int")
+    for share in (0.02, 0.3):
+        rest = [(1000 + i, text(i < 1000 * share), i < 1000 * share) for i in range(1000)]
+        docs = spark.createDataFrame([(i, t) for i, t, _ in labelled + rest], "doc_id long, text string")
+        scores = {x.doc_id: x.score for x in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+        right = [(scores[i] >= toxicity.THRESHOLD) == bad for i, _, bad in rest]
+        assert sum(right) >= 0.99 * len(right)
