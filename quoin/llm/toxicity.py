@@ -10,9 +10,10 @@ on the other FOLDS - 1 folds, for labelled rows of the training split, both clas
 So a score is the probability of a toxic label where both are as frequent: the cut depends neither on the corpus's toxic share
 nor on that of the labels.
 
-Vocabulary counts and training rows come from at most MAX_POSITIVE confirmed and MAX_UNLABELLED other texts of the training
-split, those with the smallest seeded hashes, written once to the shared folder; only sums per feature and the sparse rows
-over the chosen vocabulary reach the driver. Scoring is one pass over all whole texts without a shuffle.
+Vocabulary sums and the moments of length come from all texts of the training split, confirmed ones and others. The rows of
+the gradient steps and of the calibration are those with the smallest seeded hashes, at most MAX_POSITIVE, MAX_UNLABELLED
+and MAX_CLEAN of each kind, written once to the shared folder; only sums per feature of the confirmed texts and the sparse
+rows over the chosen vocabulary reach the driver. Scoring is one pass over all whole texts without a shuffle.
 
 Defined results: null and empty texts are scored as texts without features; labels with a null id or null label are
 unlabelled; of several labels of one id the highest counts; without confirmed texts all scores are 0; an empty table gives an
@@ -43,6 +44,8 @@ PREFIXES = (4, 5, 6, 7)
 #: A feature counts if its values in confirmed texts sum to this, and its log lift exceeds LIFT.
 SUPPORT, SMOOTH, LIFT = 2.0, 2.0, 1.0
 POSITIVE, UNLABELLED, CLEAN = 1, 0, 2
+#: No feature, as words hold no space.
+MOMENTS = (" texts", " words", " squares")
 EPOCHS, BATCHES, RATE, L2, SEED = 60, 10, 0.02, 2e-3, 11
 THRESHOLD = 0.7
 _EDGE = ".,;:!?%$&*#|\"'()[]{}<>-_"
@@ -152,7 +155,7 @@ def _calibrate(z: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> tuple
 
 
 def _sums(known: set[str] | None):
-    """Rows (positive, text) to per-task sums of log(1 + count) by feature."""
+    """Rows (positive, text) to per-task sums of log(1 + count) by feature, and by MOMENTS: of 1, log(1 + words) and its square."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -162,7 +165,10 @@ def _sums(known: set[str] | None):
 
         for batch in batches:
             for text in batch.column(0):
-                for x, n in features(text.as_py() or "")[0].items():
+                found, words = features(text.as_py() or "")
+                for x, v in zip(MOMENTS, (1.0, log1p(words), log1p(words) ** 2), strict=True):
+                    total[x] += v
+                for x, n in found.items():
                     if known is None or x in known:
                         total[x] += log1p(n)
                 if len(total) > 200_000:
@@ -203,16 +209,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most MAX_POSITIVE + MAX_UNLABELLED + MAX_CLEAN ids
     sample = materialize(rows.join(F.broadcast(chosen), "id").select("id", "kind", "text"))
 
-    def sums(kind: int, known: set[str] | None) -> DataFrame:
-        return sample.where(F.col("kind") == kind).select("text").mapInArrow(_sums(known), "feature string, value double").groupBy("feature").agg(F.sum("value").alias("value"))
+    def sums(of: DataFrame, known: set[str] | None) -> dict[str, float]:
+        found = of.select("text").mapInArrow(_sums(known), "feature string, value double").groupBy("feature").agg(F.sum("value").alias("value"))
+        return dict((found if known is not None else found.where((F.col("value") >= SUPPORT) | F.col("feature").isin(*MOMENTS))).collect())
 
     counted = {kind: c for kind, c in sample.groupBy("kind").count().collect()}
     if not counted.get(POSITIVE) or not counted.get(UNLABELLED):
         return Model()
-    p = dict(sums(POSITIVE, None).where(F.col("value") >= SUPPORT).collect())
-    u = dict(sums(UNLABELLED, set(p)).collect())
-    np_, nu = counted[POSITIVE], counted[UNLABELLED]
-    lift = {x: float(np.log((v + SMOOTH * np_ / nu) / np_ / ((u.get(x, 0.0) + SMOOTH) / nu))) for x, v in p.items()}
+    # every confirmed text, and every text of the training split
+    p = sums(rows.join(F.broadcast(marks.where("label = 1").select("id")), "id", "left_semi"), None)
+    np_all = p[MOMENTS[0]]
+    for x in MOMENTS:
+        del p[x]
+    u = sums(rows, set(p))
+    nu_all, total, squares = (u.pop(x) for x in MOMENTS)
+    mean = total / nu_all
+    spread = max(squares / nu_all - mean * mean, 0.0) ** 0.5 or 1.0
+    lift = {x: float(np.log((v + SMOOTH * np_all / nu_all) / np_all / ((u.get(x, 0.0) + SMOOTH) / nu_all))) for x, v in p.items()}
     vocabulary = sorted(x for x, r in lift.items() if r > LIFT)
     if not vocabulary:
         return Model()
@@ -223,7 +236,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     value = got["value"].combine_chunks().flatten().to_numpy() * scale[index]
     words = np.log1p(got["words"].to_numpy())
     kind = got["kind"].to_numpy()
-    mean, spread = float(words[kind != CLEAN].mean()), float(words[kind != CLEAN].std()) or 1.0
     dense = (words - mean) / spread
 
     def fit(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         z = np.where(fold == k, np.bincount(row, wk[index] * value, len(dense)) + bk + lk * dense, z)
     marked = kind != UNLABELLED
     if (kind == CLEAN).any():
-        of_class = {POSITIVE: 0.5 * marked.sum() / np_, CLEAN: 0.5 * marked.sum() / counted[CLEAN]}
+        of_class = {POSITIVE: 0.5 * marked.sum() / counted[POSITIVE], CLEAN: 0.5 * marked.sum() / counted[CLEAN]}
         slope, shift = _calibrate(z[marked], kind[marked] == POSITIVE, np.array([of_class[k] for k in kind[marked]]))
         w, bias, length = w * slope, bias * slope + shift, length * slope
     return Model(prior, {x: float(a * s) for x, a, s in zip(vocabulary, w, scale, strict=True)}, float(bias), (float(length), mean, spread))

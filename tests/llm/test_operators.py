@@ -270,3 +270,16 @@ def test_toxicity_cut_does_not_follow_the_share_of_toxic_texts(spark):
         scores = {x.doc_id: x.score for x in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
         right = [(scores[i] >= toxicity.THRESHOLD) == bad for i, _, bad in rest]
         assert sum(right) >= 0.99 * len(right)
+
+
+def test_toxicity_statistics_come_from_all_texts(spark, monkeypatch):
+    from quoin.llm import toxicity
+
+    rows = [(i, f"bad{i % 3} " * 2 + "w " * (i % 7)) for i in range(200)] + [(i, "calm " * (i % 50)) for i in range(200, 800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(0, 800, 4)], "doc_id long, toxic int")
+    full = toxicity.train(docs, labels)
+    for name in ("MAX_POSITIVE", "MAX_UNLABELLED"):
+        monkeypatch.setattr(toxicity, name, 20)
+    small = toxicity.train(docs, labels)
+    assert small.length[1:] == pytest.approx(full.length[1:]) and set(small.weights) == set(full.weights)
