@@ -21,23 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session in one process gets a temporary one; a cluster is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quoin-checkpoint-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, and every executor can read it again.
 
     The folder goes when the Python process ends while its session still runs.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quoin-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     _written.append((weakref.ref(spark), path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -79,3 +81,32 @@ def md5_128(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def partitions_for(df: DataFrame, part_bytes: int = 1 << 25) -> int:
+    """As many partitions as the session's setting says, or more where the plan's input is larger than part_bytes for each."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = shuffle_partitions(df.sparkSession)
+    return max(least, -(-size // part_bytes)) if size < 1 << 60 else least  # what has no known size reports nearly 2**63
+
+
+#: Words of 64 bits in a bitmap: half a MB, whatever the size of the data.
+BITMAP_WORDS = 1 << 16
+
+
+def bitmap(hashes: DataFrame) -> DataFrame:
+    """One row, one array: a bit for each value of the only column of hashes (long), modulo its size."""
+    spark, n = hashes.sparkSession, BITMAP_WORDS * 64
+    bit = hashes.select(F.pmod(F.col(hashes.columns[0]), F.lit(n)).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("word"))
+    every = spark.range(BITMAP_WORDS).join(words, F.col("id") == F.col("at"), "left")
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")))), lambda x: x["word"]).alias("bits"))
+
+
+def may_be_in(df: DataFrame, hash_col: str, bits: DataFrame, negate: bool = False) -> DataFrame:
+    """Rows of df whose hash_col may be among those of the bitmap; negate: the rows that surely are not. A filter without a shuffle, never the answer itself."""
+    at = F.pmod(F.col(hash_col), F.lit(BITMAP_WORDS * 64))
+    word = F.get(F.col("bits"), F.shiftright(at, 6).cast("int"))
+    is_set = F.getbit(word, at.bitwiseAND(63).cast("int")) == 1
+    # one row of BITMAP_WORDS * 8 bytes
+    return df.join(F.broadcast(bits), ~is_set if negate else is_set, "left_semi")
