@@ -19,6 +19,7 @@ ORACLES = {
     "op2_line_dedup": line_dedup.SQL,
     "op4_mixing": mixing.SQL,
     "op6_chat_format": chat_format.SQL,
+    "op7_pii": pii.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
