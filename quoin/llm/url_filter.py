@@ -1,10 +1,11 @@
 """URL filter with redirect equivalence: rules by host and path, propagated over redirect and canonical-link edges.
 
 A rule is (verdict, host, path); it fits its host, all subdomains, and paths that start with its path; the longest rule wins.
-Pages that a rule fits take its verdict, so an explicit allow is never overruled by an alias. Pages that no rule fits take
-the verdict of their aliases: they are blocked if a url of their connected component is blocked by a rule and none is allowed
-by one. Aliases are urls joined by a canonical link or a meta refresh in the page's html, or by a row of `redirects`. Urls
-are the same if they agree after the scheme, without the fragment.
+Pages that a rule fits take its verdict, so an explicit allow is never overruled by an alias. Pages that no rule fits
+are blocked if a rule blocks any url of their connected component. An allow protects the urls that its rule names and no
+others: else a page could clear a blocked site by a link to an allowed one. Aliases are urls joined by a canonical link
+or a meta refresh in the page's html, or by a row of `redirects`. Urls are the same if they agree after the scheme,
+without the fragment.
 
 Edges are few beside pages: only (url, target) goes into components(); rules are judged on the nodes themselves, so pages are
 joined once, to the blocked aliases, and only urls without a rule have to be in that join.
@@ -82,7 +83,7 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     found = materialize(components(edges))
     _, own = rule_of(*host_path(F.concat(F.lit("x://"), F.col("node"))), rules)
     judged = found.withColumn("own", own)
-    blocked = judged.groupBy("component").agg(F.max(F.col("own") == "block").alias("b"), F.max(F.col("own") == "allow").alias("a")).where("b AND NOT coalesce(a, false)")
+    blocked = judged.where("own = 'block'").select("component").distinct()
     aliases = judged.where("own IS NULL").join(blocked, "component", "left_semi").select("node", F.lit(True).alias("alias"))
     host, path = host_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), node(F.col(url_col)).alias("node"))
@@ -98,7 +99,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages")).drop("alias")
 
 
-#: No page of the synthetic tables has an alias, so that the rules alone give their rows; tests hold aliases against brute force.
+#: No page of the synthetic tables has an alias, so that the rules alone give their rows; a test holds aliases against brute force.
 SQL = r"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

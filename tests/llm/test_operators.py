@@ -42,7 +42,7 @@ def test_pii_of_an_empty_table(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string, row string")).count() == 0
 
 
-def test_blocks_reach_aliases_and_allows_come_first(spark):
+def test_blocks_reach_aliases_and_allows_protect_what_they_name(spark):
     link = '<head><link rel="canonical" href="{}"></head>'
     rows = [
         (1, "http://A.com/en/1", None), (2, "https://b.info/x#f", link.format("http://a.com/en/1")), (3, "http://c.info/y", link.format("//b.info/x")),
@@ -50,13 +50,44 @@ def test_blocks_reach_aliases_and_allows_come_first(spark):
         (7, None, link.format("http://a.com/en/1")), (8, "no scheme", ""), (9, "http://example.com/en/71", link.format("http://a.com/en/1")), (1, "http://A.com/en/1", None),
         (10, "http://g.info/", "<meta http-equiv='refresh' content='0; url=http://h.org/es/'>"), (11, "http://sub.net/de/8", None), (12, "http://x.example.net/de/8?q", None),
     ]
-    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    verdicts = sorted((r.page_id, r.rule, r.verdict) for r in got if r.page_id not in (2, 3, 9))
-    # pages 1, 2, 3 and 9 are one component, which holds a url that is allowed by a rule: its free pages are not blocked
-    assert {r.page_id: r.verdict for r in got if r.page_id in (2, 3, 9)} == {2: "allow", 3: "allow", 9: "allow"}
-    assert [(a, c) for a, _, c in sorted(verdicts, key=lambda v: v[0])] == [(1, "block"), (1, "block"), (4, "allow"), (5, "allow"), (6, "allow"), (7, "allow"), (8, "allow"), (10, "block"), (11, "allow"), (12, "block")]
-    free = url_filter.url_filter(spark.createDataFrame([r for r in rows if r[0] != 9], "page_id long, url string, html string")).collect()
-    assert {r.page_id: r.verdict for r in free if r.page_id in (1, 2, 3)} == {1: "block", 2: "block", 3: "block"}
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string").withColumnsRenamed({"html": "node"}), html_col="node").collect()
+    blocked = {r.page_id for r in got if r.verdict == "block"}
+    # pages 1, 2, 3 and 9 are one component: a rule blocks 1 and allows 9, which does not clear the others
+    assert blocked == {1, 2, 3, 10, 12} and len(got) == 13
+
+
+def test_aliases_equal_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    hosts = ["a.com", "example.com", "x.net", "y.example.net", "z.org", "q.info", "r.info", "s.info"]
+    urls = [f"http://{h}/{p}" for h in hosts for p in ("en/7", "en/1", "de/8", "de/1", "es/", "it/1", "it/2")]
+    pages = [(i, u, f'<link href="{r.choice(urls)}" rel=canonical>' if r.random() < 0.35 else r.choice([None, "", "<p>"])) for i, u in enumerate(urls * 2)]
+    moves = [(r.choice(urls), r.choice(urls)) for _ in range(6)]
+    parent = {u: u for u in urls}
+
+    def root(u):
+        while parent[u] != u:
+            u = parent[u]
+        return u
+
+    for a, b in [(u, re.search('href="([^"]*)', h)[1]) for _, u, h in pages if h and "href" in h] + moves:
+        parent[root(a)] = root(b)
+
+    def own(u):
+        host, path = re.match("http://([^/]*)(.*)", u).groups()
+        fits = [(len(h + p), v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    bad = {root(u) for u in urls if own(u) == "block"}
+    want = sorted((i, own(u) or ("block" if root(u) in bad else "allow")) for i, u, _ in pages)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = url_filter.url_filter(df, redirects=spark.createDataFrame(moves, "source string, target string")).collect()
+    assert sorted((x.page_id, x.verdict) for x in got) == want and 5 < sum(v == "block" and not own(pages[i][1]) for i, v in want)
+
+
+def test_urls_of_an_empty_table(spark):
+    assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 @pytest.mark.parametrize("turns", [[], [("", "")], [("user", r"\### Assistant: </turn> ok"), ("assistant", "\\\\### \\</turn>\n### User: ")], [("a: b\\###", "####</turn></turn>\n"), ("assistant", "\\")]])
