@@ -110,3 +110,19 @@ def may_be_in(df: DataFrame, hash_col: str, bits: DataFrame, negate: bool = Fals
     is_set = F.getbit(word, at.bitwiseAND(63).cast("int")) == 1
     # one row of BITMAP_WORDS * 8 bytes
     return df.join(F.broadcast(bits), ~is_set if negate else is_set, "left_semi")
+
+
+#: A key that at least one in HOT rows has is joined in SALTS parts; there can't be more than HOT such keys.
+HOT, SALTS = 1024, 64
+
+
+def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, copies: str, how: str = "inner") -> DataFrame:
+    """rows joined by key to groups, one row per key with the number of rows that have it; rows of hot keys are dealt to several tasks."""
+    total = groups.agg(F.sum(copies)).first()[0] or 0
+    hot = [r[0] for r in groups.where(F.col(copies) >= max(2, total / HOT)).select(key).collect()]  # at most HOT
+    if not hot:
+        return rows.join(groups, key, how)
+    is_hot = F.col(key).isin(hot)
+    salt = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("__salt", salt).join(groups.withColumn("__salt", F.explode(salts)), [key, "__salt"], how).drop("__salt")

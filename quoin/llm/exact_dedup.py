@@ -7,9 +7,10 @@ Defined results: a null text counts as empty, so null and blank texts form one g
 every other id; rows that repeat an id are rows of their own and are all marked kept if that id stays; an empty
 table gives an empty result; columns other than the two named are not read.
 
-Shape of the plan: one pass with map-side combine over (hash, text), so that copies meet once per task and equal
-texts are told apart by their bytes; one row per group goes back to the ids by hash. Only texts that differ under one
-hash need the second, byte-keyed join, and that join is planned only if there are such texts.
+Shape of the plan: texts are hashed to a narrow row each, and hashes counted with map-side combine. Only texts whose hash
+repeats are compared by their bytes, grouped by (hash, text), so that copies meet once per task; a bitmap of fixed size
+keeps nearly all others out of that shuffle. One row per group goes back to the ids by hash, in several parts where very many
+rows share it. Texts that differ under one hash need a second, byte-keyed join, and that is planned only if there are such.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import SPACE, materialize, md5_128, table, text_or_empty
-
+from .common import SPACE, bitmap, join_to_groups, materialize, may_be_in, md5_128, table, text_or_empty
 
 
 def _big(n: int) -> Column:
@@ -42,16 +42,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("length"), F.regexp_replace(text, f"[{SPACE}]+", "").alias("body"))
     rows = rows.select("doc_id", "length", "body", hash128(F.col("body")).alias("h"))
-    by_bytes = rows.groupBy("h", "body").agg(F.count("*").alias("n"), F.max(_rank(F.col("length"), F.col("doc_id"))).alias("best"))
-    groups = materialize(by_bytes.groupBy("h").agg(F.sum("n").alias("n"), F.max("best").alias("best"), F.count("*").alias("texts")))
-    light = rows.select("doc_id", "h", F.sha2("body", 256).alias("text_sha256"))
-    out = light.join(groups.where("texts = 1"), "h")
-    columns = ["doc_id", _ranked_id(F.col("best")).alias("keep_id"), F.col("n").alias("group_size"), "text_sha256"]
-    result = out.select(*columns)
-    if not groups.where("texts > 1").isEmpty():
-        mixed = groups.where("texts > 1").select("h")
-        apart = rows.join(mixed, "h", "left_semi").join(by_bytes.join(mixed, "h", "left_semi"), ["h", "body"])
-        result = result.unionByName(apart.withColumn("text_sha256", F.sha2("body", 256)).select(*columns))
+    rows = rows.withColumn("x", F.xxhash64("h"))
+    counted = [F.count("*").alias("n"), F.max(_rank(F.col("length"), F.col("doc_id"))).alias("best")]
+    groups = materialize(rows.groupBy("h").agg(*counted).where("n > 1"))
+    bits = bitmap(groups.select(F.xxhash64("h").alias("x")))
+    by_bytes = may_be_in(rows, "x", bits).groupBy("h", "body").agg(*counted)
+    mixed = materialize(by_bytes.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h"))
+    light = rows.select("doc_id", "h", "x", F.sha2("body", 256).alias("text_sha256"))
+    single = [F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.col("text_sha256")]
+    of_group = [F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(_ranked_id(F.col("best"))).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.col("text_sha256")]
+    result = may_be_in(light, "x", bits, negate=True).select("doc_id", *single)
+    if mixed.isEmpty():
+        result = result.unionByName(join_to_groups(may_be_in(light, "x", bits), groups, "h", "n", "left").select("doc_id", *of_group))
+    else:
+        same = join_to_groups(may_be_in(light, "x", bits).join(mixed, "h", "left_anti"), groups, "h", "n", "left")
+        apart = may_be_in(rows, "x", bits).join(mixed, "h", "left_semi").join(by_bytes.join(mixed, "h", "left_semi"), ["h", "body"])
+        result = result.unionByName(same.select("doc_id", *of_group)).unionByName(apart.withColumn("text_sha256", F.sha2("body", 256)).select("doc_id", *of_group))
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
