@@ -4,9 +4,10 @@ Fingerprints: A-Z lower-cased, words, shingles of n words with repeats; bit b is
 shingles' XXH64 (seed 42). Fingerprints link at `distance` or fewer differing bits.
 
 Equal fingerprints meet first, by map-side aggregation, so a group of copies is one fingerprint from there on. Which pairs to
-compare: of the 64 bits in distance + 2 blocks, two fingerprints within the distance agree on two blocks at least, so each
-is dealt to all block pairs, and only fingerprints of one bucket are compared (pivots alone would leave the number of pairs
-quadratic). Within a bucket the pivot table decides: the distances to a few reference fingerprints are computed once per
+compare: of the 64 bits in so many blocks, two fingerprints within the distance agree on all blocks but `distance`, so each
+is dealt to every such choice of blocks, and only fingerprints of one bucket are compared (pivots alone would leave the number
+of pairs quadratic). There are as many blocks as make a bucket's bits outnumber the fingerprints, so buckets stay small
+at every size. Within a bucket the pivot table decides: the distances to a few reference fingerprints are computed once per
 fingerprint; a pair whose largest coordinate difference exceeds the distance can't link and is discarded; survivors are
 verified by their differing bits. A bucket yields the edges of a spanning forest by breadth-first search, never all its
 pairs. Buckets of over SPLIT fingerprints are divided again, exactly, on finer blocks. A bucket holds distinct fingerprints,
@@ -27,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialize, table
+from .common import join_to_groups, materialize, table
 from .components import components
 from .words import pieces
 
@@ -86,6 +87,14 @@ def _masks(blocks: int, distance: int) -> list[int]:
     return [sum(x) for x in combinations(_cuts(blocks), blocks - distance)]
 
 
+def _blocks(n: int, distance: int) -> int:
+    """Blocks of the 64 bits: at least distance + 2, more while the bits of a choice could not tell n fingerprints apart, up to twice the distance."""
+    blocks = distance + 2
+    while blocks < 2 * distance and 64 * (blocks - distance) // blocks < n.bit_length():
+        blocks += 1
+    return blocks
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -183,16 +192,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest id that links lead to)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = materialize(rows.mapInArrow(fingerprints(shingle), "doc_id long, fp long"))
-    distinct = materialize(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("rep")))
+    distinct = materialize(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("rep"), F.count("*").alias("copies")))
     chosen = [x.fp % (1 << 64) for x in distinct.orderBy(F.xxhash64("fp"), "fp").limit(pivots).collect()]
-    masks = _masks(distance + 2, distance)
+    masks = _masks(_blocks(distinct.count(), distance), distance)
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)])
     dealt = distinct.select(F.explode(keys).alias("key"), "fp", "rep")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     links = dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_edges(chosen, distance), "u long, v long")
     found = components(links.distinct())
-    named = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(named, "fp")
+    named = materialize(distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id")))
+    out = join_to_groups(prints, named, "fp", "copies")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("component_id") != _LAST, F.col("component_id")).alias("component_id"))
 
 

@@ -123,6 +123,64 @@ def test_texts_that_share_a_hash_are_told_apart(spark):
     assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (5, 2), 5: (5, 2)}
 
 
+def _exact(rows):
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\t-\r]", "", t or ""), []).append((-len(t or ""), i is None, i))
+    return sorted(((i, min(g)[2], len(g), i == min(g)[2], hashlib.sha256(b.encode()).hexdigest()) for b, g in groups.items() for _, _, i in g), key=repr)
+
+
+@pytest.mark.parametrize("one_hash", [False, True])
+def test_exact_groups_equal_brute_force(spark, one_hash):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    rows = [(i, "".join(r.choices("ab \t\n", k=r.randint(0, 5)))) for i in range(300)] + [(None, "a b"), (None, None), (7, "a b"), (400, "z" * 200000), (401, " " + "z" * 200000)] + [(1000 + i, "hot") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit(1), "h": F.lit("x"), "kept": F.lit(0)})
+    got = exact_dedup.exact_dedup(df, **({"hash128": lambda c: F.lit("same")} if one_hash else {})).collect()
+    assert sorted(((x.doc_id, x.keep_id, x.group_size, x.kept, x.text_sha256) for x in got), key=repr) == _exact(rows)
+    assert exact_dedup.exact_dedup(df.where("false")).count() == 0
+
+
+def _print(text):
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_equal_brute_force(spark):
+    texts = [None, "", "\t\n", "one", "One  two", "a b c d", "a b c d e", "é É ß a\x0bb", "x " * 5000, "x " * 5000]
+    ids = [1, 2, None, 4, 4, 6, 7, 8, 9, None]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").withColumn("fp", __import__("pyspark").sql.functions.lit(1))
+    got = simhash_dedup.near_duplicates(df).collect()
+    assert sorted((str(r.doc_id), int(r.fingerprint, 16)) for r in got) == sorted((str(i), _print(t)) for i, t in zip(ids, texts, strict=True))
+    assert {r.component_id for r in got if int(r.fingerprint, 16) == _print("x " * 5000)} == {9} and {r.component_id for r in got if r.fingerprint == "0" * 16} == {1}
+    assert simhash_dedup.near_duplicates(df.where("false")).count() == 0
+
+
+def test_pivots_discard_nearly_all_pairs_of_a_bucket():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    fp = rng.integers(0, 2**63, 2000, np.uint64) & np.uint64(~((1 << 21) - 1) & (1 << 63) - 1)  # a bucket: 21 bits agree
+    linker = simhash_dedup._Linker([int(x) for x in rng.integers(0, 2**63, simhash_dedup.PIVOTS, np.uint64)], 4)
+    t = linker.table(fp)
+    left = sum(int((np.abs(t[i + 1 :] - t[i]).max(axis=1) <= 4).sum()) for i in range(len(fp) - 1))
+    assert left < 0.02 * len(fp) * (len(fp) - 1) / 2
+
+
+def test_finer_blocks_give_the_same_links(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(df).collect()}
+    assert [simhash_dedup._blocks(n, 4) for n in (10, 1 << 20, 1 << 24, 1 << 40)] == [6, 6, 7, 8]
+    monkeypatch.setattr(simhash_dedup, "_blocks", lambda n, distance: 8)
+    assert {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(df).collect()} == want
+
+
 def test_fingerprints_within_the_distance_link(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = simhash_dedup.near_duplicates(df).collect()
