@@ -15,7 +15,7 @@ the gradient steps and of the calibration are those with the smallest seeded has
 and MAX_CLEAN of each kind, written once to the shared folder; only sums per feature of the confirmed texts and the sparse
 rows over the chosen vocabulary reach the driver. Scoring is one pass over all whole texts without a shuffle.
 
-Defined results: null and empty texts are scored as texts without features; labels with a null id or null label are
+Defined results: null and empty texts are scored as short texts without features, which are not toxic (lengths count within REACH spreads); labels with a null id or null label are
 unlabelled; of several labels of one id the highest counts; without confirmed texts all scores are 0; an empty table gives an
 empty result; a null id is not held out; columns other than id and text are never read by a score.
 """
@@ -48,6 +48,8 @@ POSITIVE, UNLABELLED, CLEAN = 1, 0, 2
 MOMENTS = (" texts", " words", " squares")
 EPOCHS, BATCHES, RATE, L2, SEED = 60, 10, 0.02, 2e-3, 11
 THRESHOLD = 0.7
+#: Spreads from the mean at which a length counts as no shorter or longer: a text is not toxic for being short.
+REACH = 1.0
 _EDGE = ".,;:!?%$&*#|\"'()[]{}<>-_"
 
 
@@ -96,7 +98,7 @@ class Model:
                 for x in known:
                     found[x] = found.get(x, 0) + n
             w, mean, spread = self.length
-            z[i] = self.bias + w * (log1p(len(words)) - mean) / spread + sum(get(x) * log1p(n) for x, n in found.items())
+            z[i] = self.bias + w * min(max((log1p(len(words)) - mean) / spread, -REACH), REACH) + sum(get(x) * log1p(n) for x, n in found.items())
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -236,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     value = got["value"].combine_chunks().flatten().to_numpy() * scale[index]
     words = np.log1p(got["words"].to_numpy())
     kind = got["kind"].to_numpy()
-    dense = (words - mean) / spread
+    dense = np.clip((words - mean) / spread, -REACH, REACH)
 
     def fit(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = at[kind[at] != CLEAN]

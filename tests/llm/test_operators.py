@@ -372,3 +372,11 @@ def test_toxicity_statistics_come_from_all_texts(spark, monkeypatch):
         monkeypatch.setattr(toxicity, name, 20)
     small = toxicity.train(docs, labels)
     assert small.length[1:] == pytest.approx(full.length[1:]) and set(small.weights) == set(full.weights)
+
+
+def test_texts_are_not_toxic_for_being_short(spark):
+    from quoin.llm import toxicity
+
+    for sf in ("sf0.001", "sf0.01"):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        assert (toxicity.train(docs, labels).score(["", None, " \t", "short", "two words"], {}) < toxicity.THRESHOLD).all()
