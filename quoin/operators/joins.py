@@ -1,8 +1,11 @@
-"""As-of and range joins."""
+"""As-of, range, pattern and pairing joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+#: A key that one in HOT rows has is joined in SALTS parts; there can't be more than HOT such keys.
+HOT, SALTS = 1024, 16
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, tie: str, values: list[str]) -> DataFrame:
@@ -19,15 +22,108 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, tie: str, val
 
 
 def range_join(df: DataFrame, ranges: DataFrame, value: str, width: float) -> DataFrame:
-    """Rows of df with the ranges (lo, hi, half-open) that hold their value: an equi-join on buckets of the given width."""
-    bucket = lambda c: F.floor(c / width).cast("long")
-    dealt = ranges.withColumn("__b", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))))
-    out = df.withColumn("__b", bucket(F.col(value))).join(dealt, "__b")
-    return out.where((F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))).drop("__b")
+    """Rows of df with the ranges (lo, hi, half-open) that hold their value.
+
+    An equi-join on buckets. A range is dealt to its buckets of the width, one of over SALTS such to buckets of a width
+    that is SALTS times as large, and so on, so no range becomes more than SALTS + 1 rows; rows look into each level that ranges use.
+    """
+    spans = ranges.withColumn("__level", F.greatest(F.lit(0), F.ceil(F.log(float(SALTS), F.greatest((F.col("hi") - F.col("lo")) / width, F.lit(1.0))) - 1)).cast("int"))
+    bucket = lambda c: F.floor(c / (F.pow(F.lit(float(SALTS)), "__level") * width)).cast("long")
+    dealt = spans.withColumn("__b", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))))
+    levels = [r[0] for r in spans.select("__level").distinct().collect()]  # logarithmic in the widest range
+    if not levels:
+        return df.join(ranges, F.lit(False))
+    out = df.withColumn("__level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("__b", bucket(F.col(value))).join(dealt, ["__level", "__b"])
+    return out.where((F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))).drop("__level", "__b")
+
+
+def range_assign(df: DataFrame, ranges: DataFrame, value: str, key: str, order: str, label: str, default: Column, width: float, name: str = "assigned") -> DataFrame:
+    """df with the label of the first range in order that holds its value, else the default; key: what tells rows of df apart."""
+    found = range_join(df.select(key, value), ranges, value, width).groupBy(key).agg(F.min_by(label, order).alias("__label"))
+    return df.join(found, key, "left").withColumn(name, F.coalesce("__label", default)).drop("__label")
+
+
+def self_pairs(one: DataFrame, group: str, item: str, extra: list[str] | None = None) -> DataFrame:
+    """group, a, b (a < b) and extra columns of both sides (suffix _a, _b) for each two items of a group; one: distinct group and item. Large groups are dealt to several tasks."""
+    extra = extra or []
+    sizes = one.groupBy(group).agg(F.count("*").alias("n"))
+    hot = [r[0] for r in sizes.join(F.broadcast(sizes.agg(F.sum("n").alias("t")))).where(F.col("n") >= F.greatest(F.lit(64), F.col("t") / HOT)).select(group).collect()]  # at most HOT
+    side = lambda s: one.select(group, F.col(item).alias(s), *[F.col(x).alias(f"{x}_{s}") for x in extra])
+    if not hot:
+        return side("a").join(side("b"), group).where("a < b")
+    is_hot = F.col(group).isin(hot)
+    a = side("a").withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).otherwise(0))
+    b = side("b").withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return a.join(b, [group, "__salt"]).where("a < b").drop("__salt")
 
 
 def co_occurrence(df: DataFrame, group: str, item: str) -> DataFrame:
     """a, b, n: pairs of different items (a < b) and the number of groups that hold both."""
+    return self_pairs(df.select(group, item).distinct(), group, item).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def lower_triangle(df: DataFrame, group: str, item: str) -> DataFrame:
+    """a, b, n for all items a >= b, equal ones and pairs that never meet (n 0) included: a matrix over few items, as it has their number squared rows."""
     one = df.select(group, item).distinct()
-    pairs = one.select(group, F.col(item).alias("a")).join(one.select(group, F.col(item).alias("b")), group).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    items = one.select(F.col(item).alias("a")).distinct()
+    cells = items.join(items.withColumnRenamed("a", "b"), F.col("a") >= F.col("b"))
+    met = self_pairs(one, group, item).groupBy(F.col("b").alias("a"), F.col("a").alias("b")).agg(F.count("*").alias("n"))
+    own = one.groupBy(F.col(item).alias("a")).agg(F.count("*").alias("n")).select("a", F.col("a").alias("b"), "n")
+    return cells.join(met.unionByName(own), ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def pattern_join(df: DataFrame, patterns: list[tuple[int, str]], value: str, glob: bool = False) -> DataFrame:
+    """Rows of df with each pattern (regular expression, or glob) that their value matches, in one pass without a join."""
+    import fnmatch
+
+    regex = lambda p: "^" + fnmatch.translate(p).replace(r"\z", "$").replace(r"\Z", "$") if glob else p
+    found = F.array_compact(F.array(*[F.when(F.col(value).rlike(regex(p)), F.struct(F.lit(i).alias("pattern_id"), F.lit(p).alias("pattern"))) for i, p in patterns]))
+    return df.select("*", F.inline(found))
+
+
+def holds_any(value: Column, words: list[str]) -> Column:
+    """Whether the value holds any of the words; null counts as holding none."""
+    out = F.lit(False)
+    for w in words:
+        out = out | value.contains(w)
+    return F.coalesce(out, F.lit(False))
+
+
+def keep_if_absent_or_above(df: DataFrame, scores: DataFrame, key: str, score: str, least: float) -> DataFrame:
+    """Rows of df whose key has no score, or one above least (the highest, where a key has several)."""
+    low = scores.groupBy(key).agg(F.max(score).alias("__s")).where(F.col("__s").isNotNull() & ~(F.col("__s") > least))
+    return df.join(low, key, "left_anti")
+
+
+def twins(df: DataFrame, group: str, item: str, alone: str = "_original") -> DataFrame:
+    """group, first, second: the two items of each group of two; an item alone is paired with itself and the suffix; larger groups raise."""
+    per = df.groupBy(group).agg(F.count("*").alias("n"), F.min(item).alias("first"), F.max(item).alias("last"))
+    checked = F.when(F.col("n") > 2, F.raise_error(F.concat(F.lit("more than two items in group "), F.col(group).cast("string"))).cast("string"))
+    second = F.when(F.col("n") == 1, F.concat(F.col("first").cast("string"), F.lit(alone))).when(F.col("n") == 2, F.col("last").cast("string")).otherwise(checked)
+    return per.select(group, F.col("first").cast("string").alias("first"), second.alias("second"))
+
+
+def other_group_partner(df: DataFrame, key: str, group: str, seed: int = 0) -> DataFrame:
+    """key, partner: for each row a row of another group, chosen by a seeded hash.
+
+    Rows are numbered by group, then hash; the partner stands as many places further as the group has rows (around the end),
+    which is another group's, if there is one. So no row meets more than one other.
+    """
+    from quoin.operators.ranking import ranked, seeded_key
+
+    order = seeded_key(key, seed)
+    group_order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")))
+    numbered = ranked(df.select(key, group), [], [group_order, F.col(group), order, F.col(key)], F.substring(group_order, 1, 3), "__n", "__total")
+    sizes = df.groupBy(F.col(group).alias("__of")).agg(F.count("*").alias("__size"))
+    placed = numbered.join(sizes, F.col(group).eqNullSafe(F.col("__of")))
+    to = placed.where("__size < __total").select(key, ((F.col("__n") - 1 + F.col("__size")) % F.col("__total") + 1).alias("__to"))
+    return to.join(numbered.select(F.col(key).alias("partner"), F.col("__n").alias("__to")), "__to").select(key, "partner")
+
+
+def interleave(frames: list[DataFrame], choice: DataFrame, place: str, source: str) -> DataFrame:
+    """Row i from the frame that choice (place, source) names for i; all frames share their columns."""
+    tagged = [df.withColumn(source, F.lit(i)) for i, df in enumerate(frames)]
+    out = tagged[0]
+    for df in tagged[1:]:
+        out = out.unionByName(df)
+    return out.join(choice, [place, source])

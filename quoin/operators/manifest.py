@@ -1,19 +1,12 @@
-"""Manifest operators: best share per group and seeded splits."""
+"""Seeded splits by hash share, which need no order and no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-
-def top_percent(df: DataFrame, group: str, score: str, percent: float, tie: str) -> DataFrame:
-    """The ceil(percent of its rows) rows of each group with the highest scores."""
-    w = Window.partitionBy(group)
-    ranked = df.withColumns({"__n": F.count("*").over(w), "__rank": F.row_number().over(w.orderBy(F.col(score).desc_nulls_last(), tie))})
-    return ranked.where(F.col("__rank") <= F.ceil(F.col("__n") * percent / 100)).drop("__n", "__rank")
+from pyspark.sql import Column, functions as F
 
 
 def seeded_split(key: Column, parts: dict[str, int], seed: int = 0) -> Column:
-    """The part of a row by md5 of seed and key: a part gets its number of each 100 hash values; rows need no order and no shuffle."""
+    """The part of a row by md5 of seed and key: a part gets its number of each 100 hash values."""
     place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("long") % 100
     out, upto = F.lit(None).cast("string"), 100
     for name, share in reversed(parts.items()):

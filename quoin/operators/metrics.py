@@ -1,17 +1,73 @@
-"""Classifier metrics from scored rows."""
+"""Classifier metrics from scored rows. A share of nothing is null; nothing here raises on empty, constant or one-class input."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Bins of scores whose counts are summed in one task before rows of a bin are.
+BINS = 256
 
-def pr_curve(df: DataFrame, score: Column, positive: Column, digits: int = 3) -> DataFrame:
-    """threshold, tp, fp, precision, recall at each score rounded to digits; rows are counted per threshold before the one-task window."""
-    per = df.groupBy(F.round(score, digits).alias("threshold")).agg(F.sum(positive.cast("long")).alias("p"), F.count("*").alias("n"))
-    down = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down), "all": F.sum("p").over(Window.partitionBy())})
-    return per.select("threshold", "tp", (F.col("seen") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("seen")).alias("precision"), (F.col("tp") / F.col("all")).alias("recall"))
 
+def cumulative_counts(df: DataFrame, score: Column, positive: Column) -> DataFrame:
+    """s, p, n, tp, seen: per distinct score its positives and rows, and both counted from the highest score down.
 
-def confusion(df: DataFrame, label: Column, predicted: Column) -> DataFrame:
-    return df.groupBy(label.alias("label"), predicted.alias("predicted")).agg(F.count("*").alias("n"))
+    Counts per score are summed within bins of scores, and bins among themselves, so no task holds all distinct scores.
+    """
+    per = df.groupBy(score.alias("s")).agg(F.sum(F.coalesce(positive, F.lit(False)).cast("long")).alias("p"), F.count("*").alias("n")).where("s IS NOT NULL")
+    edges = per.agg(F.percentile_approx("s", [i / BINS for i in range(1, BINS)], 1000).alias("edges"))
+    # one row
+    binned = per.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e > F.col("s")))).drop("edges")
+    down = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy("bin").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    bins = bins.select("bin", F.coalesce(F.sum("bp").over(down), F.lit(0)).alias("bp"), F.coalesce(F.sum("bn").over(down), F.lit(0)).alias("bn"))
+    within = Window.partitionBy("bin").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = binned.join(bins, "bin")
+    return both.select("s", "p", "n", (F.col("bp") + F.sum("p").over(within)).alias("tp"), (F.col("bn") + F.sum("n").over(within)).alias("seen"))
+
+
+def pr_curve(df: DataFrame, score: Column, positive: Column, digits: int | None = None) -> DataFrame:
+    """threshold, tp, fp, precision, recall at each distinct score, rounded first if digits are given; recall is null without positives."""
+    per = cumulative_counts(df, score if digits is None else F.round(score, digits), positive)
+    # one row
+    both = per.join(F.broadcast(per.agg(F.sum("p").alias("all"))))
+    return both.select(F.col("s").alias("threshold"), "tp", (F.col("seen") - F.col("tp")).alias("fp"), F.try_divide("tp", "seen").alias("precision"), F.try_divide("tp", "all").alias("recall"))
+
+
+def confusion(df: DataFrame, label: Column, predicted: Column, shares: bool = False) -> DataFrame:
+    """label, predicted, n, and with shares the share of the label's rows."""
+    out = df.groupBy(label.alias("label"), predicted.alias("predicted")).agg(F.count("*").alias("n"))
+    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("label"))) if shares else out
+
+
+def at_threshold(df: DataFrame, score: Column, positive: Column, threshold: float) -> DataFrame:
+    """precision, recall, f1 of score > threshold; undefined ones are 0."""
+    called, right = score > threshold, (score > threshold) & positive
+    c = df.agg(F.count_if(called).alias("c"), F.count_if(right).alias("r"), F.count_if(positive).alias("p"))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return c.select(share(F.col("r"), F.col("c")).alias("precision"), share(F.col("r"), F.col("p")).alias("recall"), share(2.0 * F.col("r"), F.col("c") + F.col("p")).alias("f1"))
+
+
+def best_accuracy(df: DataFrame, score: Column, positive: Column, thresholds: list[float]) -> DataFrame:
+    """threshold, accuracy: the best of the thresholds and the median score, for score > threshold; of equal ones the smallest."""
+    rows = df.select(score.alias("s"), positive.alias("y"))
+    # one row
+    with_median = rows.join(F.broadcast(rows.agg(F.median("s").alias("m"))))
+    every = F.concat(F.array(*[F.lit(float(t)) for t in thresholds]), F.array(F.col("m")))
+    right = with_median.select(F.explode(every).alias("threshold"), "s", "y").groupBy("threshold").agg(F.avg(((F.col("s") > F.col("threshold")) == F.col("y")).cast("double")).alias("accuracy"))
+    best = F.max(F.struct(F.col("accuracy"), (-F.col("threshold")).alias("t")))
+    return right.where("threshold IS NOT NULL").agg(best.alias("b")).select((-F.col("b.t")).alias("threshold"), "b.accuracy")
+
+
+def precision_at_recalls(df: DataFrame, score: Column, positive: Column, recalls: list[float]) -> DataFrame:
+    """target, precision: the highest precision of a threshold that reaches the recall; null where none does."""
+    curve = pr_curve(df, score, positive)
+    aims = F.array(*[F.struct(F.lit(float(r)).alias("target"), F.max(F.when(F.col("recall") >= r, F.col("precision"))).alias("precision")) for r in recalls])
+    return curve.agg(aims.alias("a")).select(F.inline("a"))
+
+
+def error_tradeoff(df: DataFrame, score: Column, positive: Column) -> DataFrame:
+    """threshold, false_positive_rate, false_negative_rate at each distinct score; null where a class is missing."""
+    per = cumulative_counts(df, score, positive)
+    # one row
+    both = per.join(F.broadcast(per.agg(F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))))
+    return both.select(F.col("s").alias("threshold"), F.try_divide(F.col("seen") - F.col("tp"), F.col("neg")).alias("false_positive_rate"), F.try_divide(F.col("pos") - F.col("tp"), F.col("pos")).alias("false_negative_rate"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quoin.functions import names, vectors
-from quoin.operators import evaluation, graphs, joins, sampling
+from quoin.operators import evaluation, graphs, joins, ranking, statistics
+from quoin.sources import sinks
 from quoin.sources.tables import table
 
 _R = "l_returnflag = 'R'"
@@ -13,7 +14,7 @@ _SCORE = "l_quantity / 50"
 
 
 def name_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = F.expr("""concat('anon_R', o_custkey, '_iur_8_', element_at(array('twotreatisesofgov', 'criticalenquiriesintoREDO', 'essay'), cast(o_orderkey % 3 + 1 AS int)), year(o_orderdate),
+    built = F.expr("""concat('anon_R', o_custkey, '_iur_8_', element_at(array('gardenletters', 'notesontidesREDO', 'essay'), cast(o_orderkey % 3 + 1 AS int)), year(o_orderdate),
         if(o_orderkey % 5 = 0, 'A', ''), '-', lpad(cast(o_orderkey % 500 AS string), 4, '0'), if(o_orderkey % 11 = 0, concat('-', char(65 + o_orderkey % 26), '.jpg'),
         concat('_page1rline', o_custkey % 40, '_char', o_custkey % 7, '_', char(65 + o_orderkey % 26), '_uc.tif')))""")
     df = table(spark, sf_dir, "orders").select("o_orderkey", built.alias("name"))
@@ -22,8 +23,8 @@ def name_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = vectors.softmax(F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")))
-    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).alias("label"), p.alias("p"))
+    p = vectors.softmax(F.transform("embedding", lambda x: x.cast("double")))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", p.alias("p"))
     return e.select("vec_id", "label", vectors.argmax(F.col("p")).alias("predicted"), F.round(F.array_max("p"), 6).alias("prob"))
 
 
@@ -65,7 +66,7 @@ def running_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(statistics.correlation("l_quantity", "l_extendedprice"), 6).alias("r"))
 
 
 def mean_template(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,21 +113,21 @@ def joined_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sampling.stratified_split(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", "o_orderkey", 10, 42)
+    out = ranking.stratified_split(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", "o_orderkey", 10, 42)
     return out.select("o_orderkey", "part")
 
 
 def balanced_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.balanced(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "toxic", ["doc_id"])
+    return ranking.balanced(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "toxic", ["doc_id"])
 
 
 def counterpart_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    return sampling.pair_off(o.where("o_orderstatus = 'P'"), o.where("o_orderstatus = 'O'"), "o_orderpriority", "o_orderkey", 7)
+    return ranking.pair_off(o.where("o_orderstatus = 'P'"), o.where("o_orderstatus = 'O'"), "o_orderpriority", "o_orderkey", 7)
 
 
 def lookup_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = sampling.last_wins(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
+    last = ranking.last_wins(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
     c = table(spark, sf_dir, "customer").select("c_custkey").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
     return c.select("c_custkey", F.coalesce("o_orderstatus", F.lit("unknown")).alias("status"))
 
@@ -138,14 +139,12 @@ def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("o_totalprice")).alias("s"), F.col("o_orderkey").alias("k")))), 1, 5)
-    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(best.alias("b"))
-    parts = F.concat(F.transform("b.k", lambda x: x.cast("string")), F.transform("b.s", lambda x: F.format_string("%.2f", -x)))
-    return per.select("o_custkey", F.array_join(parts, "|").alias("row"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("candidate"), F.col("o_totalprice").alias("score"))
+    ranked = o.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "candidate")))
+    return sinks.wide_rows(ranked, 5, 2).select(F.col("query").alias("o_custkey"), "row")
 
 
-_P = "CASE WHEN p[1] >= p[2] AND p[1] >= p[3] THEN 0 WHEN p[2] >= p[3] THEN 1 ELSE 2 END"
-_PRED = f"WITH e AS (SELECT vec_id, label % 3 AS label, CAST(embedding[1:3] AS DOUBLE[]) AS p FROM embeddings), k AS (SELECT vec_id, label, CAST({_P} AS INT) AS predicted, round(1 / (exp(p[1] - greatest(p[1], p[2], p[3])) + exp(p[2] - greatest(p[1], p[2], p[3])) + exp(p[3] - greatest(p[1], p[2], p[3]))), 6) AS prob FROM e)"
+_PRED = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS p FROM embeddings), k AS (SELECT vec_id, label, CAST(list_position(p, list_max(p)) - 1 AS INT) AS predicted, round(1 / list_sum(list_transform(p, lambda x: exp(x - list_max(p)))), 6) AS prob FROM e)"
 _PAIRS = "WITH RECURSIVE d AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), e AS (SELECT x.p AS a, y.p AS b FROM d x JOIN d y ON x.o = y.o AND x.p < y.p GROUP BY ALL HAVING count(*) > 1), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)"
 _COUNTS = "WITH c AS (SELECT l_quantity / 50 AS s, count(*) FILTER (l_returnflag = 'R') AS p, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM c WINDOW w AS (ORDER BY s DESC))"
 
@@ -154,7 +153,7 @@ ORACLES = {
     "name_fields": """SELECT o_orderkey, 'anon' AS printer, concat('R', o_custkey) AS catalogue_id, CASE WHEN o_orderkey % 5 = 0 THEN try_cast(concat(right(CAST(year(o_orderdate) AS VARCHAR), 3), 'A') AS INT) ELSE CAST(year(o_orderdate) AS INT) END AS year,
 concat(b, year(o_orderdate)) AS book, concat(replace(b, 'REDO', ''), year(o_orderdate)) AS book_without_redo, CASE WHEN o_orderkey % 11 = 0 THEN 'None' ELSE concat(b, year(o_orderdate), CASE WHEN o_orderkey % 5 = 0 THEN 'A' ELSE '' END) END AS book_by_position,
 CAST(o_orderkey % 500 AS INT) AS page, CAST(CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE o_custkey % 40 END AS INT) AS line, CAST(CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE o_custkey % 7 END AS INT) AS slot, CASE WHEN o_orderkey % 11 <> 0 THEN chr(CAST(65 + o_orderkey % 26 AS INT)) END AS letter
-FROM (SELECT *, ['twotreatisesofgov', 'criticalenquiriesintoREDO', 'essay'][o_orderkey % 3 + 1] AS b FROM orders)""",
+FROM (SELECT *, ['gardenletters', 'notesontidesREDO', 'essay'][o_orderkey % 3 + 1] AS b FROM orders)""",
     "predicted_class": _PRED + " SELECT * FROM k",
     "confident_errors": _PRED + " SELECT * FROM k WHERE label <> predicted ORDER BY prob DESC, vec_id LIMIT 20",
     "price_histogram": "WITH m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) SELECT CAST(least(floor((l_extendedprice - lo) / (hi - lo) * 20), 19) AS BIGINT) AS bin, count(*) AS n FROM lineitem, m GROUP BY 1",
@@ -177,5 +176,5 @@ FROM (SELECT *, ['twotreatisesofgov', 'criticalenquiriesintoREDO', 'essay'][o_or
     "counterpart_pairs": "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY md5(concat('7:', o_orderkey)), o_orderkey) AS n FROM orders) SELECT x.o_orderpriority, x.o_orderkey AS a, y.o_orderkey AS b FROM o x JOIN o y ON x.o_orderpriority = y.o_orderpriority AND x.n = y.n AND x.o_orderstatus = 'P' AND y.o_orderstatus = 'O'",
     "lookup_with_default": "SELECT c_custkey, coalesce((SELECT arg_max(o_orderstatus, o_orderkey) FROM orders WHERE o_custkey = c_custkey), 'unknown') AS status FROM customer",
     "pattern_matches": "SELECT CAST(i AS INT) AS rule, count(*) AS n FROM part JOIN (VALUES (0, '#1'), (1, '#.*[135]$'), (2, '^Brand#[2-4]')) r(i, q) ON regexp_matches(p_brand, q) GROUP BY i",
-    "wide_top": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) SELECT o_custkey, concat(string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY n), '|', string_agg(printf('%.2f', o_totalprice), '|' ORDER BY n)) AS row FROM r WHERE n <= 5 GROUP BY 1",
+    "wide_top": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) SELECT o_custkey, concat(o_custkey, '|', string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY n), '|', string_agg(printf('%.2f', o_totalprice), '|' ORDER BY n)) AS row FROM r WHERE n <= 5 GROUP BY 1",
 }

@@ -1,0 +1 @@
+"""Streams of manifest files: the batch operators over files as they arrive."""

@@ -11,7 +11,7 @@ def _plain(v):
     return round(v, 5) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
