@@ -37,7 +37,7 @@ def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filtered_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.filter_graph(_weighted(spark, sf_dir), 3.0, 12)
+    return graphs.filter_graph(_weighted(spark, sf_dir), 14.0, 70)
 
 
 def within_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ SELECT a, b, count(*) AS n, count(*) FILTER (hx AND hy) AS n_strong, count(*) FI
     "part_clusters": f"WITH RECURSIVE s0 AS (SELECT l_partkey AS g, l_suppkey AS i FROM ({_ISSUES}) WHERE l_partkey % 5 = 0)" + _NAMED,
     "seeded_clusters": f"WITH RECURSIVE s0 AS (SELECT concat('group ', l_partkey) AS g, l_suppkey AS i FROM ({_ISSUES}) WHERE l_partkey % 15 = 0 UNION ALL SELECT concat('seed ', s_suppkey % 9), s_suppkey FROM supplier WHERE s_suppkey % 9 <= 1 AND s_suppkey % 2 = 0)" + _NAMED,
     "cluster_sizes": f"WITH RECURSIVE s0 AS (SELECT l_partkey AS g, l_suppkey AS i FROM ({_ISSUES}) WHERE l_partkey % 5 = 0)" + _REACH + ", z AS (SELECT component, count(*) AS size FROM c GROUP BY 1) SELECT size, count(*) AS n FROM z WHERE size > 1 GROUP BY size",
-    "filtered_graph": _WEIGHTED + ", e AS (SELECT * FROM w WHERE weight >= 3), g AS (SELECT n, count(*) AS d FROM (SELECT a AS n FROM e UNION ALL SELECT b FROM e) GROUP BY n HAVING count(*) <= 12) SELECT a, b, weight FROM e WHERE a IN (SELECT n FROM g) AND b IN (SELECT n FROM g)",
+    "filtered_graph": _WEIGHTED + ", e AS (SELECT * FROM w WHERE weight >= 14), g AS (SELECT n, count(*) AS d FROM (SELECT a AS n FROM e UNION ALL SELECT b FROM e) GROUP BY n HAVING count(*) <= 70) SELECT a, b, weight FROM e WHERE a IN (SELECT n FROM g) AND b IN (SELECT n FROM g)",
     "within_nations": _WEIGHTED + ", e AS (SELECT a, b, weight FROM w JOIN supplier x ON a = x.s_suppkey JOIN supplier y ON b = y.s_suppkey WHERE x.s_nationkey = y.s_nationkey) SELECT a, b, weight FROM e UNION ALL SELECT b, a, weight FROM e",
     "laplacian": _WEIGHTED + ", e AS (SELECT a, b, weight FROM w UNION ALL SELECT b, a, weight FROM w), t AS (SELECT a, sum(weight) AS d FROM e GROUP BY a) SELECT e.a, e.b, round(-weight / sqrt(CAST(x.d AS DOUBLE) * y.d), 7) AS value FROM e JOIN t x ON e.a = x.a JOIN t y ON e.b = y.a UNION ALL SELECT a, a, 1.0::DOUBLE FROM t",
     "status_triangle": "WITH o AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_suppkey < 30 AND l_partkey % 11 = 0), i AS (SELECT DISTINCT s FROM o) SELECT x.s AS a, y.s AS b, (SELECT count(*) FROM o u JOIN o v ON u.p = v.p WHERE u.s = x.s AND v.s = y.s) AS n FROM i x JOIN i y ON x.s >= y.s",
