@@ -23,7 +23,7 @@ empty result; a null id is not held out; columns other than id and text are neve
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from math import log1p
@@ -50,6 +50,8 @@ EPOCHS, BATCHES, RATE, L2, SEED = 60, 10, 0.02, 2e-3, 11
 THRESHOLD = 0.7
 #: Spreads from the mean at which a length counts as no shorter or longer: a text is not toxic for being short.
 REACH = 1.0
+#: Words whose features are kept at hand in a task.
+CACHED = 300_000
 _EDGE = ".,;:!?%$&*#|\"'()[]{}<>-_"
 
 
@@ -71,6 +73,30 @@ def features(text: str) -> tuple[dict[str, int], int]:
     return out, len(words)
 
 
+def heads(known: Iterable[str]) -> set[str]:
+    """The first letters that a word has if one of its features is known, as many as the shortest prefix has; other words may have them too."""
+    k = min(PREFIXES)
+    return {y for x in known for y in (x[:k], x[1 : k + 1])}
+
+
+def known_features(words: list[str], known: Container[str], first: set[str], cache: dict[str, tuple[str, ...]]) -> dict[str, int]:
+    """features() of a text's words, only the known ones; first: their heads; cache: the known features of words seen."""
+    counts = Counter(words)
+    fresh = [x for x in counts if x not in cache]
+    if len(cache) + len(fresh) > CACHED:
+        cache.clear()
+        fresh = list(counts)
+    k = min(PREFIXES)
+    for word in fresh:
+        bare = word.strip(_EDGE)
+        cache[word] = tuple(x for x in (bare, *("^" + bare[:k] for k in PREFIXES if len(bare) >= k)) if x in known) if bare[:k] in first else ()
+    found: dict[str, int] = {}
+    for n, of in [x for x in zip(counts.values(), map(cache.get, counts), strict=True) if x[1]]:
+        for x in of:
+            found[x] = found.get(x, 0) + n
+    return found
+
+
 @dataclass
 class Model:
     """Weights per feature, bias, and the weight, mean and spread of log(1 + words)."""
@@ -80,23 +106,13 @@ class Model:
     bias: float = 0.0
     length: tuple[float, float, float] = (0.0, 0.0, 1.0)
 
-    def score(self, texts: list[str | None], cache: dict[str, list[str]]) -> np.ndarray:
+    def score(self, texts: list[str | None], cache: dict[str, tuple[str, ...]]) -> np.ndarray:
         if not self.weights:
             return np.zeros(len(texts))
-        z, get = np.empty(len(texts)), self.weights.get
+        z, get, first = np.empty(len(texts)), self.weights.get, heads(self.weights)
         for i, text in enumerate(texts):
             words = (text or "").lower().split()
-            found: dict[str, int] = {}
-            for word, n in Counter(words).items():
-                known = cache.get(word)
-                if known is None:
-                    bare = word.strip(_EDGE)
-                    known = [x for x in (bare, *("^" + bare[:k] for k in PREFIXES if len(bare) >= k)) if x in self.weights]
-                    if len(cache) > 300_000:
-                        cache.clear()
-                    cache[word] = known
-                for x in known:
-                    found[x] = found.get(x, 0) + n
+            found = known_features(words, self.weights, first, cache)
             w, mean, spread = self.length
             z[i] = self.bias + w * min(max((log1p(len(words)) - mean) / spread, -REACH), REACH) + sum(get(x) * log1p(n) for x, n in found.items())
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -161,18 +177,23 @@ def _sums(known: set[str] | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+        cache: dict[str, tuple[str, ...]] = {}
+        first = heads(known or ())
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["feature", "value"])
 
         for batch in batches:
-            for text in batch.column(0):
-                found, words = features(text.as_py() or "")
+            for text in batch.column(0).to_pylist():
+                if known is None:
+                    found, words = features(text or "")
+                else:
+                    split = (text or "").lower().split()
+                    found, words = known_features(split, known, first, cache), len(split)
                 for x, v in zip(MOMENTS, (1.0, log1p(words), log1p(words) ** 2), strict=True):
                     total[x] += v
                 for x, n in found.items():
-                    if known is None or x in known:
-                        total[x] += log1p(n)
+                    total[x] += log1p(n)
                 if len(total) > 200_000:
                     yield out()
                     total.clear()
@@ -270,7 +291,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[str]] = {}
+        cache: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             scores = model.score(batch.column(at).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, out])
