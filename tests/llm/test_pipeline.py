@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from test_operators import _coverage, _shingle_set, _tokens
+from test_corpus_operators import _coverage, _shingle_set, _tokens
 
 import corpus_pipeline
 from quoin.llm import mixing, toxicity
