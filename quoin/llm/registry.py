@@ -1,6 +1,6 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import chat_format, decontaminate, exact_dedup, line_dedup, mixing, pii, simhash_dedup, substring_dedup, toxicity, url_filter
+from . import chat_format, conversation_repair, decontaminate, exact_dedup, line_dedup, mixing, pii, secret_scan, simhash_dedup, substring_dedup, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 ORACLES = {
     "op1_url_filter": url_filter.SQL,
@@ -22,4 +25,6 @@ ORACLES = {
     "op7_pii": pii.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_secret_scan": secret_scan.SQL,
+    "op13_conversation_repair": conversation_repair.SQL,
 }
