@@ -331,6 +331,31 @@ def test_near_copies_equal_brute_force_jaccard(spark):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("block", [4096, 8])
+def test_near_copies_of_long_texts_and_in_dealt_buckets_are_found(spark, monkeypatch, block):
+    import random
+
+    from quoin.llm import near_dedup
+
+    r = random.Random(block)
+    rows, linked = [], 0
+    passage = [r.randrange(10**6) for _ in range(40)]
+    for n, pairs in ((100, 40), (400, 20), (1000, 10), (20_000, 6), (60_000, 4)):
+        for _ in range(pairs):
+            words = [r.randrange(10**6) for _ in range(n)]
+            if n == 100:
+                words[:40] = passage  # all short texts meet in buckets
+            copy = list(words)
+            for at in r.sample(range(n), max(1, int(n * r.choice([0.002, 0.015, 0.021])))):
+                copy[at] = r.randrange(10**6)
+            x, y = _shingle_set(" ".join(map(str, words))), _shingle_set(" ".join(map(str, copy)))
+            linked += 5 * len(x & y) >= 4 * len(x | y)
+            rows += [(len(rows), " ".join(map(str, words))), (len(rows) + 1, " ".join(map(str, copy)))]
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, len(rows), 2)) == linked > 60
+
+
 def test_pipeline_stage_drops_near_copies_at_0_8(spark):
     import corpus_pipeline
 

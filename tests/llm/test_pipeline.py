@@ -54,9 +54,8 @@ def test_stages_equal_brute_force(spark):
                 parent[root(a)] = root(b)
     least = {}
     for i, r in enumerate(rows):
-        least[root(i)] = min(least.get(root(i), 2**63), 2**63 if r.doc_id is None else r.doc_id)
-    kept = {v for v in least.values()}
-    assert out.columns == docs.columns and _rows(out) == sorted(repr(r) for r in rows if (2**63 if r.doc_id is None else r.doc_id) in kept)
+        least[root(i)] = min(least.get(root(i), (2**63,)), (2**63 if r.doc_id is None else r.doc_id, repr(r)))
+    assert out.columns == docs.columns and _rows(out) == sorted(r for _, r in least.values())
 
     docs = out
     out = materialize(stage["benchmark_decontamination"](spark, docs, SF))
@@ -93,3 +92,14 @@ def test_mixing_equals_its_sql_and_meets_the_targets(spark):
         rows = [r for r in got if r.source == source]
         assert abs(sum(r.taken for r in rows) - rows[0].target) <= 1 and all(r.taken <= 3 * r.size for r in rows)
         assert rows[0].target <= 3 * rows[0].source_size + 1e-6
+
+
+def test_one_row_of_each_group_stays_and_names_may_clash(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 0.5, 1, "a"), (1, text, 0.5, 1, "a"), (None, text, 0.1, 2, "b"), (None, "alone here", 0.2, 3, "c"), (1, "another text of one id", 0.3, 4, "d"), (None, "", 0.4, 5, "e"), (5, None, 0.4, 6, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, place int, Kept string")
+    docs = materialize(docs.withColumns({"__score": docs.place, "__kept": docs.place, "group": docs.place, "row": docs.place, "component_id": docs.place}))
+    out = corpus_pipeline.simhash_dedup(spark, docs, SF)
+    assert out.columns == docs.columns and sorted(r.Kept for r in out.collect()) == ["a", "c", "d", "f"]
+    labels_fit = corpus_pipeline.toxicity(spark, docs, SF)
+    assert labels_fit.columns == docs.columns
