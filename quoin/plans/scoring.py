@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quoin.functions import vectors
 from quoin.operators import evaluation, metrics, ranking, retrieval, statistics
+from quoin.sources.storage import shared_path
 from quoin.sources.tables import table
 
 _SCORE, _R = "l_extendedprice", "l_returnflag = 'R'"
@@ -45,7 +46,7 @@ def similarity_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filtered_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _embeddings(spark, sf_dir)
-    out = retrieval.discover(e.where("vec_id % 20 = 0"), e, 5, "label", (F.col("q_book") != F.col("book")) & F.col("vec_id").between(10, 100000), 0.1)
+    out = retrieval.discover(e.where("vec_id % 20 = 0"), e.where(F.col("vec_id").between(10, 100000)), 5, "label", least=0.1, differ=("book",))
     return out.select("query_id", "id", F.round("sim", 5).alias("sim"), "rank")
 
 
@@ -62,11 +63,19 @@ def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.reranked(first, second, 5).select("query_id", "id", F.round("sim", 5).alias("sim"))
 
 
-def cell_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _embeddings(spark, sf_dir).select("vec_id", "embedding")
-    centroids = retrieval.fit_centroids(e, 16)
-    out = retrieval.knn_cells(e.where("vec_id % 20 = 0"), retrieval.build_cells(e, centroids), centroids, 10, 12)
-    return out.select("query_id", "id", F.round("sim", 5).alias("sim"))
+    return retrieval.knn(e, e, 5).select("query_id", "id", F.round("sim", 5).alias("sim"), "rank")
+
+
+def cell_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a written index finds nine in ten of the exact neighbours when a quarter of its cells is probed."""
+    e = _embeddings(spark, sf_dir).select("vec_id", "embedding")
+    index = retrieval.CellIndex.write(e, shared_path(spark, "cells"), 64, copies=3)
+    queries = e.where("vec_id % 20 = 0")
+    exact = retrieval.knn(queries, e, 10).select("query_id", "id")
+    found = index.search(queries, 10, 16).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "id"], "left").agg(F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("nine_in_ten"))
 
 
 def kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +186,7 @@ _MI = " UNION ALL ".join(f"SELECT '{v}' AS value, l_returnflag AS f, least(floor
 _CORR = "(SELECT corr({a}, {b}) FROM lineitem)"
 _K = "exp(-list_sum(list_transform(list_zip({a}, {b}), lambda z: pow(z[1] - z[2], 2))) / 2)"
 
-QUERIES = {f.__name__: f for f in (recall_grid, macro_recall, hit_positions, similarity_spread, filtered_neighbours, nearest_with_self, reranked, cell_neighbours, kernels, rates, price_curve, error_tradeoff, threshold_scores, best_accuracy, precision_at_recalls, confusion_shares, price_summary, scaled_prices, partial_correlations, shared_information, kernel_test, best_epochs, majority_status, limited_template)}
+QUERIES = {f.__name__: f for f in (recall_grid, macro_recall, hit_positions, similarity_spread, filtered_neighbours, nearest_with_self, reranked, all_neighbours, cell_recall, kernels, rates, price_curve, error_tradeoff, threshold_scores, best_accuracy, precision_at_recalls, confusion_shares, price_summary, scaled_prices, partial_correlations, shared_information, kernel_test, best_epochs, majority_status, limited_template)}
 ORACLES = {
     "recall_grid": _HITS + "SELECT label, k, found, total, round(recall, 6) AS recall FROM r",
     "macro_recall": _HITS + "SELECT k, round(avg(recall), 6) AS macro, round(sum(found) / sum(total), 6) AS micro FROM r WHERE k <= 10 GROUP BY k",
@@ -186,6 +195,8 @@ ORACLES = {
     "filtered_neighbours": _HITS + ", f AS (SELECT query_id, id, sim, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS INT) AS rank FROM q WHERE label = hit AND query_id <> id AND qbook <> book AND id BETWEEN 10 AND 100000 AND sim >= 0.1) SELECT query_id, id, round(sim, 5) AS sim, rank FROM f WHERE rank <= 5",
     "nearest_with_self": _HITS + "SELECT query_id, id, abs(round(d, 5)) AS distance FROM q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) <= 11",
     "reranked": _HITS + ", f AS (SELECT * FROM h WHERE relevant QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) <= 20) SELECT query_id, id, round(sim - round(d, 9), 5) AS sim FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim - round(d, 9) DESC, id) <= 5",
+    "all_neighbours": _HITS.replace("e a JOIN e b ON a.vec_id % 20 = 0", "e a JOIN e b ON true") + "SELECT query_id, id, round(sim, 5) AS sim, CAST(rank AS INT) AS rank FROM h WHERE rank <= 5",
+    "cell_recall": _HITS + "SELECT count(*) AS wanted, true AS nine_in_ten FROM h WHERE rank <= 10",
     "kernels": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id, a.v[1] / sqrt(list_inner_product(a.v, a.v)) AS u, list_inner_product(a.v, b.v) AS p, list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(z[1] - z[2], 2))) AS d FROM e a JOIN e b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(p, 5) AS product, round(d, 5) AS squared, round(sqrt(d), 5) AS distance, round(exp(-d / 8), 5) AS exponential, round(pow(1 + d / 4, -0.5), 5) AS rational, round(pow(p + 1, 2), 5) AS polynomial, round(1 / (1 + exp(-p)), 5) AS sigmoid, round(u, 5) AS unit FROM p",
     "rates": "SELECT c_custkey, round(CASE WHEN c_custkey % 1000 < 100 THEN 0.1::DOUBLE * (c_custkey % 1000) / 100 ELSE 0.01::DOUBLE + 0.045::DOUBLE * (1 + cos(least(1, (c_custkey % 1000 - 100) / 800.0::DOUBLE) * pi())) END, 6) AS rate FROM customer",
     "price_curve": _CURVE.format(s=_SCORE) + " SELECT s AS threshold, CAST(tp AS BIGINT) AS tp, CAST(seen - tp AS BIGINT) AS fp, round(tp / seen, 6) AS precision, round(tp / pos, 6) AS recall FROM t",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quoin.functions import names, vectors
-from quoin.operators import evaluation, graphs, joins, metrics, ranking, retrieval, statistics
+from quoin.operators import evaluation, graphs, joins, metrics, ranking, retrieval, statistics, tiles
 from quoin.sources import binary, sinks, text
 
 SF = "/root/testdata/sf0.001"
@@ -70,14 +70,42 @@ def test_neighbours_with_ties_nulls_and_zero_vectors(spark):
         assert [i for _, i in sorted(got[q])] == [i for _, i in want]
 
 
-def test_cells_reach_recall_and_are_exact_if_all_are_probed(spark):
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+def test_a_written_index_reads_the_probed_cells_and_reaches_recall(spark, tmp_path):
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + r.normal(size=16) * 0.3).tolist()) for i in range(3000)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     q = e.where("vec_id % 20 = 0")
-    exact = {(r.query_id, r.id) for r in retrieval.knn(q, e, 10).collect()}
-    centroids = retrieval.fit_centroids(e, 16)
-    cells = retrieval.build_cells(e, centroids)
-    found = lambda probe: {(r.query_id, r.id) for r in retrieval.knn_cells(q, cells, centroids, 10, probe).collect()}
-    assert found(16) == exact and len(found(12) & exact) >= 0.9 * len(exact)
+    exact = {(x.query_id, x.id) for x in retrieval.knn(q, e, 10).collect()}
+    retrieval.CellIndex.write(e, str(tmp_path), 32)
+    index = retrieval.CellIndex(spark.newSession(), str(tmp_path))
+    assert index.rows().count() == 3000 and index.about.cells == 32
+    found = {(x.query_id, x.id) for x in index.search(q, 10, 4).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    assert {(x.query_id, x.id) for x in index.search(q, 10, 32).collect()} == exact
+    one = index.search(e.where("vec_id = 7"), 5, 2)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    assert {f[0].split("cell=")[1].split("/")[0] for f in index.rows([1, 2]).select(F.input_file_name()).distinct().collect()} == {"1", "2"}
+    copies = retrieval.CellIndex.write(e, str(tmp_path / "two"), 32, copies=2)
+    assert {(x.query_id, x.id) for x in copies.search(q, 10, 32).collect()} == exact
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 25])
+def test_tiles_equal_all_pairs(spark, monkeypatch, sent):
+    monkeypatch.setattr(tiles, "BROADCAST", sent)
+    r = random.Random(5)
+    rows = [(i, r.choice(["a", "b", None]), r.choice([0, 1, None]), [round(r.random(), 1) for _ in range(3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, label string, book int, embedding array<double>").repartition(5)
+    for metric in ("cosine", "l2"):
+        got = {}
+        for x in tiles.nearest(df, df, 4, metric, "label", ("book",), -0.3).collect():
+            got.setdefault(x.query_id, []).append((x["rank"], x.id))
+        v = {i: np.array(e) for i, _, _, e in rows}
+        for i, label, book, _ in rows:
+            score = lambda j: -float(((v[i] - v[j]) ** 2).sum()) if metric == "l2" else float(v[i] @ v[j] / max(np.linalg.norm(v[i]), 1e-300) / max(np.linalg.norm(v[j]), 1e-300))  # noqa: B023, E731
+            want = sorted((-round(score(j), 9), j) for j, l, b, _ in rows if j != i and l == label and label is not None and b != book and round(score(j), 9) >= -0.3)[:4]
+            assert [j for _, j in sorted(got.get(i, []))] == [j for _, j in want]
 
 
 def test_conditions_are_met_before_the_ranking(spark):
