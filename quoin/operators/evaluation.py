@@ -5,9 +5,10 @@ Nothing raises on empty, constant or one-class input: a share of nothing is null
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quoin.operators.metrics import cumulative_counts, pr_curve
+from quoin.operators.scans import running  # noqa: F401
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -48,12 +49,6 @@ def averages(df: DataFrame, group: str, hit: Column) -> DataFrame:
     return per.agg(F.avg(F.try_divide("found", "total")).alias("macro"), F.try_divide(F.sum("found"), F.sum("total")).alias("micro"))
 
 
-def running(df: DataFrame, by: str, order: list[str], value: str, last: int) -> DataFrame:
-    """df with running_best and the mean of the last rows, within each `by`."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumns({"running_best": F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), "running_mean": F.avg(value).over(w.rowsBetween(1 - last, 0))})
-
-
 def recall_grid(hits: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
     """group, k, found, total, recall: hits (query_id, rank, relevant) among the first k out of min(n, k), for queries of truth (query_id, group, n); a recall of nothing is 0."""
     at = F.array(*[F.struct(F.lit(k).alias("k"), F.count_if(F.col("relevant") & (F.col("rank") <= k)).alias("found")) for k in ks])

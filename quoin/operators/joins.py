@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quoin.operators.scans import carry_last, has_large_key
+
 #: A key that one in HOT rows has is joined in SALTS parts; there can't be more than HOT such keys.
 HOT, SALTS = 1024, 16
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, tie: str, values: list[str]) -> DataFrame:
-    """left with the values of the latest row of right at or before `on` within `by` (of equal times that of the largest tie).
+def asof_join(left: DataFrame, right: DataFrame, by: str | None, on: str, tie: str, values: list[str], whole: bool | None = None) -> DataFrame:
+    """left with the values of the latest row of right at or before `on`, within `by` if there is one (of equal times that of the largest tie).
 
-    One shuffle: both sides are stacked and the last values are carried forward.
+    Both sides are stacked and the last values are carried forward: in one shuffle by key, or, where there is no key or one
+    has very many rows (or whole is False), over ranges of key and time.
     """
     carried = F.struct(*[F.col(v) for v in values])
-    a = left.select("*", F.lit(None).cast(right.select(carried.alias("c")).schema["c"].dataType).alias("__c"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[tie].dataType).alias("__tie"))
-    b = right.select(by, on, carried.alias("__c"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"))
-    order = Window.partitionBy(by).orderBy(on, "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("__last", F.last("__c", ignorenulls=True).over(order))
+    keys = [by] if by else []
+    a = left.select("*", F.lit(None).cast(right.select(carried.alias("c")).schema["c"].dataType).alias("__c"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[tie].dataType).alias("__tie"), F.xxhash64(*left.columns).alias("__h"))
+    b = right.select(*keys, on, carried.alias("__c"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.lit(0).cast("long").alias("__h"))
+    order = [on, "__side", "__tie", "__h"]
+    both = a.unionByName(b, allowMissingColumns=True)
+    if whole is None:
+        whole = by is not None and not has_large_key(both.select(by), by)
+    if whole:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumn("__last", F.last("__c", ignorenulls=True).over(w))
+    else:
+        both = carry_last(both, keys, order, "__c", "__last")
     return both.where("__side = 1").select(*left.columns, *[F.col(f"__last.{v}").alias(f"asof_{v}") for v in values])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quoin.functions.scores import in_half_open, norm, rbf_affinity
-from quoin.operators import joins, manifest, metrics, ranking, retrieval
+from quoin.operators import evaluation, joins, manifest, metrics, ranking, retrieval
 from quoin.plans import attribution, files, relations, scoring, selection
 from quoin.sources.tables import table
 
@@ -46,6 +46,19 @@ def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "asof_source", "asof_level")
 
 
+def asof_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As of the latest purchase, whoever made it: there is no key."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    right = e.where("event_type = 'purchase'").select("ts", F.col("event_id").alias("source"), F.col("value").alias("level"))
+    return joins.asof_join(e.select("event_id", "ts"), right, None, "ts", "source", ["source", "level"]).select("event_id", "asof_source", "asof_level")
+
+
+def running_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    out = evaluation.running(e, None, ["ts", "event_id"], "value", 100)
+    return out.select("event_id", F.round("running_best", 4).alias("running_best"), F.round("running_mean", 4).alias("running_mean"))
+
+
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = spark.range(10).select((F.col("id") * 5.0 + 1).alias("lo"), (F.col("id") * 5.0 + 8).alias("hi"), F.col("id").alias("range_id"))
     out = joins.range_join(table(spark, sf_dir, "lineitem").select("l_quantity"), ranges, "l_quantity", 5.0)
@@ -79,7 +92,7 @@ WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embedding
 ), k AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) <= 10)
 """
 
-QUERIES = {f.__name__: f for f in (knn_cosine, recall_by_label, vector_affinity, top_percent_per_group, seeded_split_counts, asof_events, page_ranges, half_open_filter, part_co_occurrence, precision_recall, confusion_counts)} | attribution.QUERIES | selection.QUERIES | scoring.QUERIES | relations.QUERIES | files.QUERIES
+QUERIES = {f.__name__: f for f in (knn_cosine, recall_by_label, vector_affinity, top_percent_per_group, seeded_split_counts, asof_events, asof_all_events, running_all_events, page_ranges, half_open_filter, part_co_occurrence, precision_recall, confusion_counts)} | attribution.QUERIES | selection.QUERIES | scoring.QUERIES | relations.QUERIES | files.QUERIES
 ORACLES = {
     "knn_cosine": _KNN + "SELECT query_id, id, round(sim, 5) AS sim FROM k",
     "recall_by_label": _KNN + """, n AS (SELECT label, count(*) - 1 AS n FROM e GROUP BY label), p AS (SELECT query_id, label, count(*) FILTER (hit = label) AS f FROM k GROUP BY ALL)
@@ -88,6 +101,8 @@ SELECT p.label, CAST(sum(f) AS BIGINT) AS found, CAST(sum(least(n, 10)) AS BIGIN
     "top_percent_per_group": "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) <= ceil(count(*) OVER (PARTITION BY o_orderpriority) * 5.0::DOUBLE / 100)",
     "seeded_split_counts": "WITH o AS (SELECT o_orderstatus, ('0x' || substr(md5(concat('13:', o_orderkey)), 1, 8))::BIGINT % 100 AS p FROM orders) SELECT CASE WHEN p < 80 THEN 'train' WHEN p < 90 THEN 'valid' ELSE 'test' END AS part, o_orderstatus, count(*) AS n FROM o GROUP BY ALL",
     "asof_events": "SELECT l.event_id, (SELECT arg_max(r.event_id, (r.ts, r.event_id)) FROM events r WHERE r.event_id % 2 = 1 AND r.user_id = l.user_id AND r.ts <= l.ts) AS asof_source, (SELECT arg_max(r.value, (r.ts, r.event_id)) FROM events r WHERE r.event_id % 2 = 1 AND r.user_id = l.user_id AND r.ts <= l.ts) AS asof_level FROM events l WHERE l.event_id % 2 = 0",
+    "asof_all_events": "WITH p AS (SELECT ts, arg_max(event_id, event_id) AS i, arg_max(value, event_id) AS v FROM events WHERE event_type = 'purchase' GROUP BY ts) SELECT e.event_id, p.i AS asof_source, p.v AS asof_level FROM events e ASOF LEFT JOIN p ON e.ts >= p.ts",
+    "running_all_events": "SELECT event_id, round(max(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS running_best, round(avg(value) OVER (ORDER BY ts, event_id ROWS 99 PRECEDING), 4) AS running_mean FROM events",
     "page_ranges": "SELECT i AS range_id, count(*) AS n FROM lineitem JOIN range(10) t(i) ON l_quantity >= i * 5.0 + 1 AND l_quantity < i * 5.0 + 8 GROUP BY i",
     "half_open_filter": "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_returnflag <> 'R' GROUP BY l_returnflag",
     "part_co_occurrence": "WITH d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n FROM d x JOIN d y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY ALL HAVING count(*) > 1",

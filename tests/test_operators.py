@@ -248,3 +248,17 @@ def test_softmax_sums_to_one(spark):
 def test_written_rows_keep_missing_ranks_out(spark):
     df = spark.createDataFrame([("q", 1, "a", 0.5), ("q", 2, "b", 0.25), ("q", 3, "c", 0.1)], "query string, rank int, candidate string, score double")
     assert [r.row for r in sinks.wide_rows(df, 2, 2).collect()] == ["q|a|b|0.50|0.25"]
+
+
+@pytest.mark.parametrize("by", [None, "g"])
+def test_scans_over_ranges_equal_scans_in_one_task(spark, by):
+    r = random.Random(6)
+    rows = [(i, r.choice(["a"] * 9 + ["b", None]), r.choice([None, *range(12)]), r.choice([None, r.random(), 2.0])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, g string, t int, v double").repartition(7)
+    run = lambda whole: sorted((x.k, x.running_best, None if x.running_mean is None else round(x.running_mean, 9)) for x in evaluation.running(df, by, ["t", "k"], "v", 25, whole).collect())
+    assert run(False) == run(True) and len(run(False)) == 500
+    right = df.where("k % 3 = 0").select("g", "t", F.col("k").alias("source"), "v")
+    got = lambda whole: sorted(map(repr, joins.asof_join(df.where("k % 3 > 0").select("k", "g", "t"), right, by, "t", "source", ["source", "v"], whole).collect()))
+    assert got(False) == got(True)
+    plan = joins.asof_join(df, right, None, "t", "source", ["source"])._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
