@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quoin.operators.ranking import ranked_by_seed
+from quoin.operators.tiles import kernel_moments
+
 
 def summary(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
     """n, mean, median, std (of the population), min and max per group."""
@@ -87,3 +90,20 @@ def linear_mmd(pairs: DataFrame, kernel) -> DataFrame:
     x1, x2, y1, y2 = (F.col(c) for c in ("x1", "x2", "y1", "y2"))
     h = kernel(x1, x2) + kernel(y1, y2) - kernel(x1, y2) - kernel(x2, y1)
     return pairs.select(h.alias("h")).agg(F.avg("h").alias("mmd2"), F.try_divide(F.avg("h"), F.sqrt(F.try_divide(F.var_samp("h"), F.count("h")))).alias("z"))
+
+
+def paired(x: DataFrame, y: DataFrame, key: str, vector: str, seed: int = 0) -> DataFrame:
+    """at, x, y: the two samples in seeded order side by side, as many as the smaller one has."""
+    side = lambda df, name: ranked_by_seed(df.select(key, vector), [], key, seed, "at").select("at", F.col(vector).alias(name))
+    return side(x, "x").join(side(y, "y"), "at")
+
+
+def quadratic_mmd(pairs: DataFrame, kernel: str = "exponential", sigma: float = 1.0, unbiased: bool = True) -> DataFrame:
+    """mmd2, error: the quadratic-time estimate of the squared kernel distance of the samples x and y of pairs (at, x, y), and its standard error.
+
+    The error is that of a U-statistic under equal samples, twice the variance of h over the number of pairs; null if biased.
+    """
+    mean = F.try_divide("total", "n")
+    variance = 2 * F.try_divide(F.try_divide("squares", "n") - mean * mean, F.col("n"))
+    error = F.sqrt(F.greatest(variance, F.lit(0.0))) if unbiased else F.lit(None).cast("double")
+    return kernel_moments(pairs, kernel, sigma, unbiased).select(mean.alias("mmd2"), error.alias("error"))

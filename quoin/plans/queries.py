@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quoin.functions.scores import in_half_open, norm, rbf_affinity
 from quoin.operators import evaluation, joins, manifest, metrics, ranking, retrieval
-from quoin.plans import attribution, files, relations, scoring, selection
+from quoin.plans import attribution, files, pairs, relations, scoring, selection
 from quoin.sources.tables import table
 
 
@@ -92,7 +92,7 @@ WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embedding
 ), k AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) <= 10)
 """
 
-QUERIES = {f.__name__: f for f in (knn_cosine, recall_by_label, vector_affinity, top_percent_per_group, seeded_split_counts, asof_events, asof_all_events, running_all_events, page_ranges, half_open_filter, part_co_occurrence, precision_recall, confusion_counts)} | attribution.QUERIES | selection.QUERIES | scoring.QUERIES | relations.QUERIES | files.QUERIES
+QUERIES = {f.__name__: f for f in (knn_cosine, recall_by_label, vector_affinity, top_percent_per_group, seeded_split_counts, asof_events, asof_all_events, running_all_events, page_ranges, half_open_filter, part_co_occurrence, precision_recall, confusion_counts)} | attribution.QUERIES | selection.QUERIES | scoring.QUERIES | relations.QUERIES | files.QUERIES | pairs.QUERIES
 ORACLES = {
     "knn_cosine": _KNN + "SELECT query_id, id, round(sim, 5) AS sim FROM k",
     "recall_by_label": _KNN + """, n AS (SELECT label, count(*) - 1 AS n FROM e GROUP BY label), p AS (SELECT query_id, label, count(*) FILTER (hit = label) AS f FROM k GROUP BY ALL)
@@ -108,4 +108,4 @@ SELECT p.label, CAST(sum(f) AS BIGINT) AS found, CAST(sum(least(n, 10)) AS BIGIN
     "part_co_occurrence": "WITH d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n FROM d x JOIN d y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY ALL HAVING count(*) > 1",
     "precision_recall": "WITH g AS (SELECT round(l_quantity / 50, 2) AS threshold, count(*) FILTER (l_returnflag = 'R') AS p, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT threshold, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS s, sum(p) OVER () AS a FROM g WINDOW w AS (ORDER BY threshold DESC)) SELECT threshold, tp, s - tp AS fp, round(tp / s, 5) AS precision, round(tp / a, 5) AS recall FROM c",
     "confusion_counts": "SELECT l_returnflag AS label, CAST(l_quantity >= 25 AS INT) AS predicted, count(*) AS n FROM lineitem GROUP BY ALL",
-} | attribution.ORACLES | selection.ORACLES | scoring.ORACLES | relations.ORACLES | files.ORACLES
+} | attribution.ORACLES | selection.ORACLES | scoring.ORACLES | relations.ORACLES | files.ORACLES | pairs.ORACLES

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quoin.functions import names, vectors
-from quoin.operators import evaluation, graphs, joins, metrics, ranking, retrieval, statistics, tiles
+from quoin.operators import evaluation, graphs, joins, metrics, patterns, ranking, rasters, retrieval, statistics, tiles
 from quoin.sources import binary, sinks, text
 
 SF = "/root/testdata/sf0.001"
@@ -262,3 +262,75 @@ def test_scans_over_ranges_equal_scans_in_one_task(spark, by):
     assert got(False) == got(True)
     plan = joins.asof_join(df, right, None, "t", "source", ["source"])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_pattern_tables_equal_every_pattern_on_every_row(spark):
+    import fnmatch
+    import re
+
+    r = random.Random(7)
+    rows = [(i, r.choice([None, "", "".join(r.choice("abcx-_.é\n") for _ in range(r.randint(1, 30)))])) for i in range(300)] + [(999, "abcabcabc" * 2000)]
+    regexes = ["abc", "a.c", "^ab", "c$", "a+b", "ab*c", "ab?c", "(abc)+x", "a|bc", "[abc]x", r"\.a", r"a\.", "x{2}a", "", "abcabca", r"\d", "abx[^c]ab", "(?i)ABC", "cab-", "(ab)?cab", None]
+    globs = ["*abc*", "a*", "?b*", "*[xc]", "*é*", "abc", "*x-?a*"]
+    df = spark.createDataFrame(rows, "k long, v string")
+    for kind, listed in (("regex", regexes), ("glob", globs), ("text", regexes)):
+        table = spark.createDataFrame(list(enumerate(listed)), "pattern_id long, pattern string")
+        got = sorted(map(tuple, patterns.pattern_table_join(df, "k", "v", table, kind).collect()))
+        holds = {"regex": lambda p, v: re.search(p.replace("c$", r"c\Z"), v), "glob": lambda p, v: fnmatch.fnmatchcase(v, p), "text": lambda p, v: p in v}[kind]
+        rows_ = [(k, v.replace("\n", " ") if kind == "regex" else v) for k, v in rows if v is not None]
+        assert kind == "regex" or got == sorted((k, i) for k, v in rows_ for i, p in enumerate(listed) if p is not None and holds(p, v))
+        if kind == "regex":
+            df_ = df.withColumn("v", F.replace("v", F.lit("\n"), F.lit(" ")))
+            got = sorted(map(tuple, patterns.pattern_table_join(df_, "k", "v", table, kind).collect()))
+            assert got == sorted((k, i) for k, v in rows_ for i, p in enumerate(listed) if p is not None and holds(p, v))
+    assert [patterns.literal_of(p) for p in ("ab+cd", "ab*cd", r"a\.b", "(xyz)ab", "[]a]bc", "a{2,3}bc", "a|b")] == ["ab", "cd", "a.b", "ab", "bc", "bc", ""]
+
+
+@pytest.mark.parametrize(("rows", "sent"), [(1024, 1 << 25), (7, 0)])
+def test_kernel_moments_equal_all_pairs(spark, monkeypatch, rows, sent):
+    monkeypatch.setattr(tiles, "BROADCAST", sent)
+    r = np.random.default_rng(8)
+    x, y = r.normal(size=(60, 5)), r.normal(size=(60, 5)) + 0.3
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "at long, x array<double>, y array<double>").repartition(rows % 10 + 1)
+    k = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(-1) / 2)
+    h = k(x, x) + k(y, y) - k(x, y) - k(y, x)
+    off = h[~np.eye(60, dtype=bool)]
+    got = statistics.quadratic_mmd(df).first()
+    assert got.mmd2 == pytest.approx(off.mean(), abs=1e-12) and got.error == pytest.approx(np.sqrt(2 * off.var() / off.size), rel=1e-9)
+    biased = statistics.quadratic_mmd(df, unbiased=False).first()
+    assert biased.mmd2 == pytest.approx(h.mean(), abs=1e-12) and biased.error is None
+    assert statistics.quadratic_mmd(df.where("false")).first().mmd2 is None
+
+
+def test_thresholds_part_histograms_best(spark):
+    r = np.random.default_rng(9)
+    images = {i: np.where(r.random(40) < 0.5, r.integers(0, 90, 40), r.integers(140, 256, 40)) for i in range(20)}
+    images |= {100: np.full(5, 255), 101: np.full(5, 17), 102: np.array([17, 255, 30])}
+    rows = [(i, int(v)) for i, x in images.items() for v in x] + [(100, None)]
+    got = {t.k: t.threshold for t in rasters.thresholds(spark.createDataFrame(rows, "k long, v int"), "k", "v").collect()}
+    for i, x in images.items():
+        x = x[x < 255]
+        cut = lambda t, x=x: len(x[x <= t]) * len(x[x > t]) * (x[x <= t].mean() - x[x > t].mean()) ** 2 if (x > t).any() else 0
+        want = 127 if not len(x) else x[0] if len(set(x)) == 1 else max(sorted(set(x.tolist())), key=lambda t: (round(cut(t), 6), -t))
+        assert got[i] == want
+
+
+def test_moments_and_bounds_of_images(spark):
+    r = np.random.default_rng(10)
+    images = {i: r.integers(0, 200, (9, 12)) * (r.random((9, 12)) < 0.6) for i in range(6)}
+    images[50] = np.zeros((9, 12), int)
+    df = rasters.pixels(spark.createDataFrame([(i, v.ravel().tolist()) for i, v in images.items()], "k long, v array<long>"), "k", "v", 12)
+    moments = {m.k: m for m in rasters.moments(df, "k").collect()}
+    bounds = {b.k: b for b in rasters.parallelogram(df, "k", 0.1).collect()}
+    assert moments[50].cx is None and 50 not in bounds
+    yy, xx = np.mgrid[:9, :12]
+    for i in range(6):
+        v = images[i]
+        cov = np.cov(np.stack([xx.ravel(), yy.ravel()]), fweights=v.ravel(), ddof=0)
+        m, b = moments[i], bounds[i]
+        assert np.allclose([m.u20, m.u11, m.u02], [cov[0, 0], cov[0, 1], cov[1, 1]]) and np.allclose([m.major, m.minor], np.sqrt(np.linalg.eigvalsh(cov)[::-1]))
+        assert np.isclose(m.angle, 0.5 * np.arctan2(2 * cov[0, 1], cov[0, 0] - cov[1, 1])) and np.isclose(b.shear, cov[0, 1] / cov[1, 1])
+        slanted = xx + 0.5 - b.shear * (yy - b.middle)
+        across = [v[slanted < t].sum() / v.sum() for t in range(12)]
+        down = [v[:t].sum() / v.sum() for t in range(9)]
+        assert np.allclose([b.left, b.right], np.interp([0.05, 0.95], across, range(12))) and np.allclose([b.top, b.bottom], np.interp([0.05, 0.95], down, range(9)))
