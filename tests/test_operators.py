@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quoin.functions import names, vectors
-from quoin.operators import evaluation, graphs, joins, metrics, patterns, ranking, rasters, retrieval, statistics, tiles
+from quoin.operators import evaluation, graphs, joins, metrics, patterns, ranking, rasters, retrieval, spectral, statistics, tiles
 from quoin.sources import binary, sinks, text
 
 SF = "/root/testdata/sf0.001"
@@ -180,15 +180,33 @@ def test_seeds_merge_over_several_steps(spark):
     assert len({got[i] for i in (1, 2, 3, 4)}) == 1 and got[9] == "Isolated" and 8 not in got
 
 
+def _eigenvalues(edges):
+    place = {n: i for i, n in enumerate(sorted({x for a, b, _ in edges for x in (a, b)}))}
+    w = np.zeros((len(place), len(place)))
+    for a, b, x in edges:
+        w[place[a], place[b]] = w[place[b], place[a]] = x
+    d = w.sum(1)
+    return np.linalg.eigvalsh(np.eye(len(w)) - w / np.sqrt(d[:, None] * d[None]))
+
+
 def test_spectral_forms_find_two_cliques(spark):
     edges = [(a, b, 1.0) for s in (0, 10) for a in range(s, s + 6) for b in range(a + 1, s + 6)] + [(0, 10, 0.01)]
     df = spark.createDataFrame(edges, "a long, b long, weight double")
-    gaps = graphs.eigengap(df)
-    assert int(np.argmax(gaps)) == 1
+    gaps = spectral.eigengaps(df)
+    assert int(np.argmax(gaps)) == 1 and np.allclose(gaps, np.diff(_eigenvalues(edges)[:10]), atol=1e-9)
     found = {r.node: r.cluster for r in graphs.spectral_clusters(df, 2).collect()}
     assert len({found[i] for i in range(6)}) == 1 and set(found) == set(range(6)) | set(range(10, 16))
-    with pytest.raises(ValueError):
-        graphs.eigengap(df, 3)
+    apart = [e for e in edges if e[:2] != (0, 10)] + [(20, 21, 2.0)]
+    three = spectral.smallest_eigenvalues(spark.createDataFrame(apart, "a long, b long, weight double"), 20)
+    assert np.allclose(three, _eigenvalues(apart), atol=1e-9) and sum(v < 1e-9 for v in three) == 3
+    assert spectral.smallest_eigenvalues(df.where("false")) == []
+
+
+def test_eigenvalues_of_a_neighbour_graph(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    graph = spectral.knn_graph(e, 5)
+    got = spectral.smallest_eigenvalues(graph)
+    assert np.allclose(got, _eigenvalues([tuple(r) for r in graph.collect()])[:10], atol=1e-6)
 
 
 def test_tolerant_sources(spark, tmp_path):
