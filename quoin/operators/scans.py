@@ -26,6 +26,19 @@ def ranged(df: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame
     return df.sparkSession.read.parquet(path)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
+    """df with the place of each row in order, from 1 without gaps, and the number of rows; equal rows of an order are numbered in any way, but once."""
+    placed = ranged(df, [], order)
+    sizes = dict(placed.groupBy("__range").agg(F.count("*")).collect())  # one row a range
+    before, total = {}, 0
+    for r in sorted(sizes):
+        before[r] = total
+        total += sizes[r]
+    offset = F.create_map(*[F.lit(x) for r, n in before.items() for x in (r, n)])[F.col("__range")] if before else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + offset
+    return placed.withColumn(name, place.cast("long")).drop("__range"), total
+
+
 def has_large_key(df: DataFrame, by: str) -> bool:
     """Whether one key has so many rows that its task would be far longer than the others."""
     per = df.groupBy(by).agg(F.count("*").alias("n"))

@@ -50,6 +50,29 @@ def wide_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.wide_neighbours(spark, _written(sinks.wide_rows(ranked, 4), "row", "wide")).withColumn("score", F.round("score", 3))
 
 
+def archived_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts packed into an archive for each brand and read back beside the brand's table of thresholds."""
+    p = table(spark, sf_dir, "part")
+    letter = F.substring("p_name", 1, 1)
+    rows = p.select(F.regexp_replace("p_brand", "#", "_").alias("book"), F.concat(F.lit("x"), "p_partkey", F.lit("_"), letter, F.lit("_uc.tif")).alias("file"), F.encode("p_name", "UTF-8").alias("content"), "p_size")
+    tars, tables = shared_path(spark, "tars"), shared_path(spark, "tables")
+    binary.write_tars(rows, "book", "file", "content", tars)
+    # brands that end in 7 have no table
+    rows.where("book NOT LIKE '%7'").select("book", "file", "p_size").write.partitionBy("book").csv(tables)
+    listed = spark.read.schema("file string, threshold int, book string").csv(tables)
+    found = binary.members_in_table(binary.tar_members(spark, f"{tars}/*.tar", "_b_uc.tif", True), listed, "file")
+    return found.select("file", "book", "threshold", F.decode("content", "UTF-8").alias("name"))
+
+
+def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as bytes in IDX files, read back: their sums by file and place."""
+    grey = F.transform("embedding", lambda v: F.least(F.greatest(F.floor(v.cast("double") * 500 + 128), F.lit(0)), F.lit(255)).cast("int"))
+    path = shared_path(spark, "idx")
+    binary.write_idx(table(spark, sf_dir, "embeddings").select("vec_id", grey.alias("grey")), ["vec_id"], "grey", [8, 8], path, 100, pack=True)
+    items = binary.idx_items(spark, f"{path}/*.gz")
+    return items.select((F.regexp_extract("file", r"part-(\d+)", 1).cast("long") * 100 + F.col("item")).alias("vec_id"), F.aggregate("values", F.lit(0), lambda a, x: a + x).cast("long").alias("ink"), F.array_join("shape", "x").alias("shape"))
+
+
 def log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_type", "event_id", F.concat(F.lit("*** ['"), "event_type", F.lit("'] best_value: "), F.format_string("%.2f", "value"), F.when(F.col("event_id") % 3 == 0, "").otherwise(" >>> step"), F.lit("\n")).alias("line"))
     logs = e.groupBy("event_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "").alias("log"))
@@ -103,7 +126,7 @@ def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_type string, start timestamp, n long").parquet(out).select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
 
 
-QUERIES = {f.__name__: f for f in (tolerant_scores, streamed_scores, file_names, match_groups, wide_neighbours, log_metrics, key_folders, annotations, metric_rows, resolved_names, picture_kinds, saved_layout, streamed_windows)}
+QUERIES = {f.__name__: f for f in (tolerant_scores, streamed_scores, file_names, match_groups, wide_neighbours, archived_letters, stored_items, log_metrics, key_folders, annotations, metric_rows, resolved_names, picture_kinds, saved_layout, streamed_windows)}
 _SCORES = "SELECT concat('o', o_orderkey) AS path, CAST(o_custkey AS DOUBLE) AS score FROM orders WHERE o_orderkey % 5 > 1"
 ORACLES = {
     "tolerant_scores": _SCORES,
@@ -111,6 +134,8 @@ ORACLES = {
     "file_names": "WITH p AS (SELECT concat('/d/', p_brand, '/', p_partkey, '.tif') AS p FROM part WHERE p_partkey % 4 <> 0) SELECT CAST(1 AS INT) AS label, count(*) AS n, max(p) AS last FROM p UNION ALL SELECT CAST(0 AS INT), count(*), max(p) FROM p WHERE contains(p, '#1')",
     "match_groups": "WITH g AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_orderkey % 7 > 1 GROUP BY 1) SELECT CAST(n AS INT) AS size, count(*) AS lines FROM g WHERE n >= 2 GROUP BY n",
     "wide_neighbours": "SELECT CAST(o_custkey AS VARCHAR) AS query, CAST(row_number() OVER w AS INT) AS rank, CAST(o_orderkey AS VARCHAR) AS candidate, round(o_totalprice, 3) AS score FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) QUALIFY row_number() OVER w <= 4",
+    "archived_letters": "SELECT concat('x', p_partkey, '_b_uc.tif') AS file, replace(p_brand, '#', '_') AS book, CAST(p_size AS INT) AS threshold, p_name AS name FROM part WHERE p_name LIKE 'b%' AND p_brand NOT LIKE '%7'",
+    "stored_items": "SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda v: least(greatest(floor(CAST(v AS DOUBLE) * 500 + 128), 0), 255))) AS BIGINT) AS ink, '8x8' AS shape FROM embeddings",
     "log_metrics": "SELECT event_type AS name, count(*) AS n, CAST(printf('%.2f', arg_max(value, event_id)) AS DOUBLE) AS last, CAST(printf('%.2f', max(value)) AS DOUBLE) AS best FROM events GROUP BY 1",
     "key_folders": "SELECT p_brand AS brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM part WHERE p_brand LIKE 'Brand#1%' GROUP BY 1",
     "annotations": "SELECT n_nationkey AS place, n_name AS name, true AS same FROM nation",

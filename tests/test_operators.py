@@ -352,3 +352,39 @@ def test_moments_and_bounds_of_images(spark):
         across = [v[slanted < t].sum() / v.sum() for t in range(12)]
         down = [v[:t].sum() / v.sum() for t in range(9)]
         assert np.allclose([b.left, b.right], np.interp([0.05, 0.95], across, range(12))) and np.allclose([b.top, b.bottom], np.interp([0.05, 0.95], down, range(9)))
+
+
+def test_archives_are_read_by_ranges_and_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "RANGE", 2048)
+    rows = [(f"book {i % 3}", f"{'d' * (i % 4 * 60)}/{i}_{'ab'[i % 2]}.tif", bytes(range(i))) for i in range(60)]
+    df = spark.createDataFrame(rows, "book string, member string, content binary")
+    assert binary.write_tars(df, "book", "member", "content", str(tmp_path / "tars")) == 3
+    assert sorted(p.name for p in (tmp_path / "tars").iterdir()) == ["book 0.tar", "book 1.tar", "book 2.tar"]
+    with tarfile.open(tmp_path / "tars" / "book 1.tar") as tar:
+        assert sorted(tar.getnames()) == sorted(m for b, m, _ in rows if b == "book 1")
+    got = binary.tar_members(spark, str(tmp_path / "tars" / "*.tar"), contents=True)
+    assert sorted((r.member, bytes(r.content), r.size) for r in got.collect()) == sorted((m, c, len(c)) for _, m, c in rows)
+    assert len({r[0] for r in binary.tar_contents(binary.tar_index(spark, str(tmp_path / "tars"))).select(F.spark_partition_id()).distinct().collect()}) > 1
+    table = spark.createDataFrame([("book 1", "1_b.tif", 7), ("book 2", "1_b.tif", 8), ("book 1", "none", 9)], "book string, file string, threshold int")
+    assert [(r.book, r.file, r.threshold) for r in binary.members_in_table(got, table, "file").collect()] == [("book 1", "1_b.tif", 7)]
+
+
+@pytest.mark.parametrize("pack", [False, True])
+def test_idx_files_hold_their_share_of_all_items(spark, tmp_path, pack):
+    rows = [(i * 7 % 103, [i, 255 - i, 0, 1, 2, 3]) for i in range(103)]
+    df = spark.createDataFrame(rows, "k int, v array<int>").repartition(5)
+    assert binary.write_idx(df, ["k"], "v", [2, 3], str(tmp_path / "x"), 25, pack) == 103
+    arrays = [binary.parse_idx(p.read_bytes()) for p in sorted((tmp_path / "x").iterdir())]
+    assert [a.shape for a in arrays] == [(25, 2, 3)] * 4 + [(3, 2, 3)]
+    assert np.concatenate(arrays).reshape(103, 6).tolist() == [v for _, v in sorted(rows)]
+    assert binary.write_idx(df.where("false"), ["k"], "v", [2, 3], str(tmp_path / "y"), 25) == 0
+    with pytest.raises(Exception, match="unsigned bytes"):
+        binary.write_idx(df, ["k"], "v", [2, 2], str(tmp_path / "z"))
+
+
+def test_rows_are_numbered_without_gaps(spark):
+    from quoin.operators import scans
+
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k")).repartition(6)
+    out, total = scans.numbered(df, ["k"], "n")
+    assert total == 1000 and {(r.k, r.n) for r in out.collect()} == {(i, i + 1) for i in range(1000)}
