@@ -124,7 +124,7 @@ def other_group_partner(df: DataFrame, key: str, group: str, seed: int = 0) -> D
 
     order = seeded_key(key, seed)
     group_order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")))
-    numbered = ranked(df.select(key, group), [], [group_order, F.col(group), order, F.col(key)], F.substring(group_order, 1, 3), "__n", "__total")
+    numbered = ranked(df.select(key, group), [], [group_order, F.col(group), order, F.col(key)], "__n", "__total")
     sizes = df.groupBy(F.col(group).alias("__of")).agg(F.count("*").alias("__size"))
     placed = numbered.join(sizes, F.col(group).eqNullSafe(F.col("__of")))
     to = placed.where("__size < __total").select(key, ((F.col("__n") - 1 + F.col("__size")) % F.col("__total") + 1).alias("__to"))

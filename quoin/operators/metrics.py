@@ -4,33 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Bins of scores whose counts are summed in one task before rows of a bin are.
-BINS = 256
+from quoin.operators.scans import ranged
+
+
+def _cumulated(df: DataFrame, score: Column, positive: Column) -> tuple[DataFrame, int, int]:
+    """cumulative_counts() with the numbers of positives and of rows."""
+    per = df.groupBy(score.alias("s")).agg(F.sum(F.coalesce(positive, F.lit(False)).cast("long")).alias("p"), F.count("*").alias("n")).where("s IS NOT NULL")
+    down = F.col("s").desc()
+    placed = ranged(per, [], [down])
+    sums = {r: (p, n) for r, p, n in placed.groupBy("__range").agg(F.sum("p"), F.sum("n")).collect()}  # one row a range
+    before = {r: [sum(x[i] for q, x in sums.items() if q < r) for i in (0, 1)] for r in sums}
+    earlier = lambda i: F.create_map(*[F.lit(x) for r in before for x in (r, before[r][i])])[F.col("__range")] if before else F.lit(0)
+    within = Window.partitionBy("__range").orderBy(down).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.select("s", "p", "n", (earlier(0) + F.sum("p").over(within)).cast("long").alias("tp"), (earlier(1) + F.sum("n").over(within)).cast("long").alias("seen"))
+    return out, sum(x[0] for x in sums.values()), sum(x[1] for x in sums.values())
 
 
 def cumulative_counts(df: DataFrame, score: Column, positive: Column) -> DataFrame:
     """s, p, n, tp, seen: per distinct score its positives and rows, and both counted from the highest score down.
 
-    Counts per score are summed within bins of scores, and bins among themselves, so no task holds all distinct scores.
+    Counts per score are dealt to ranges of scores and summed within them, on top of the sums of the ranges above, so no task holds all distinct scores.
     """
-    per = df.groupBy(score.alias("s")).agg(F.sum(F.coalesce(positive, F.lit(False)).cast("long")).alias("p"), F.count("*").alias("n")).where("s IS NOT NULL")
-    edges = per.agg(F.percentile_approx("s", [i / BINS for i in range(1, BINS)], 1000).alias("edges"))
-    # one row
-    binned = per.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e > F.col("s")))).drop("edges")
-    down = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = binned.groupBy("bin").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
-    bins = bins.select("bin", F.coalesce(F.sum("bp").over(down), F.lit(0)).alias("bp"), F.coalesce(F.sum("bn").over(down), F.lit(0)).alias("bn"))
-    within = Window.partitionBy("bin").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = binned.join(bins, "bin")
-    return both.select("s", "p", "n", (F.col("bp") + F.sum("p").over(within)).alias("tp"), (F.col("bn") + F.sum("n").over(within)).alias("seen"))
+    return _cumulated(df, score, positive)[0]
+
+
+def _share(value: Column, of: int) -> Column:
+    return value / F.lit(of) if of else F.lit(None).cast("double")
 
 
 def pr_curve(df: DataFrame, score: Column, positive: Column, digits: int | None = None) -> DataFrame:
     """threshold, tp, fp, precision, recall at each distinct score, rounded first if digits are given; recall is null without positives."""
-    per = cumulative_counts(df, score if digits is None else F.round(score, digits), positive)
-    # one row
-    both = per.join(F.broadcast(per.agg(F.sum("p").alias("all"))))
-    return both.select(F.col("s").alias("threshold"), "tp", (F.col("seen") - F.col("tp")).alias("fp"), F.try_divide("tp", "seen").alias("precision"), F.try_divide("tp", "all").alias("recall"))
+    per, every, _ = _cumulated(df, score if digits is None else F.round(score, digits), positive)
+    return per.select(F.col("s").alias("threshold"), "tp", (F.col("seen") - F.col("tp")).alias("fp"), F.try_divide("tp", "seen").alias("precision"), _share(F.col("tp"), every).alias("recall"))
 
 
 def confusion(df: DataFrame, label: Column, predicted: Column, shares: bool = False) -> DataFrame:
@@ -65,9 +70,21 @@ def precision_at_recalls(df: DataFrame, score: Column, positive: Column, recalls
     return curve.agg(aims.alias("a")).select(F.inline("a"))
 
 
+def interpolated_precision(df: DataFrame, score: Column, positive: Column, recalls: list[float], margin: float = 0.01) -> DataFrame:
+    """target, threshold, precision, recall, best, around the place of the curve where recall falls to target + margin.
+
+    threshold: the highest one whose recall is above that, and best the highest precision down from there (the interpolated one); precision and recall: those
+    at the next threshold up, where there is none 1 and 0, the curve's end.
+    """
+    curve = pr_curve(df, score, positive)
+    above = lambda r: F.col("recall") > r + margin
+    after = lambda r: F.min_by(F.struct("precision", "recall"), F.when(F.col("recall") <= r + margin, F.col("threshold")))
+    aims = F.array(*[F.struct(F.lit(float(r)).alias("target"), F.max(F.when(above(r), F.col("threshold"))).alias("threshold"), after(r).alias("at"), F.max(F.when(above(r), F.col("precision"))).alias("best")) for r in recalls])
+    out = curve.agg(aims.alias("a")).select(F.inline("a"))
+    return out.select("target", "threshold", F.coalesce("at.precision", F.lit(1.0)).alias("precision"), F.coalesce("at.recall", F.lit(0.0)).alias("recall"), "best")
+
+
 def error_tradeoff(df: DataFrame, score: Column, positive: Column) -> DataFrame:
     """threshold, false_positive_rate, false_negative_rate at each distinct score; null where a class is missing."""
-    per = cumulative_counts(df, score, positive)
-    # one row
-    both = per.join(F.broadcast(per.agg(F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))))
-    return both.select(F.col("s").alias("threshold"), F.try_divide(F.col("seen") - F.col("tp"), F.col("neg")).alias("false_positive_rate"), F.try_divide(F.col("pos") - F.col("tp"), F.col("pos")).alias("false_negative_rate"))
+    per, positives, rows = _cumulated(df, score, positive)
+    return per.select(F.col("s").alias("threshold"), _share(F.col("seen") - F.col("tp"), rows - positives).alias("false_positive_rate"), _share(positives - F.col("tp"), positives).alias("false_negative_rate"))

@@ -6,50 +6,48 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Bins per group in which rows are ordered by a score; any number gives the same ranks.
-BINS = 256
-
+from quoin.operators.scans import ranged
 
 def seeded_key(key: str, seed: int) -> Column:
     """What seeded orders go by, so that reruns agree."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    return reduce(Column.__and__, (F.col(n).eqNullSafe(F.col(f"__g{i}")) for i, n in enumerate(names)), F.lit(True))
-
-
-def ranked(df: DataFrame, group: list[str], order: list[Column], rank_bin: Column, rank: str = "rank", total: str | None = None) -> DataFrame:
-    """df with its row number in its group, in order of rank_bin (which must not decrease along `order`), then order; total: a column for the group's size.
+def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str = "rank", total: str | None = None) -> DataFrame:
+    """df with its row number in its group, in that order; total: a column for the group's size.
 
-    Bins are counted first and rows are ordered within their bin, so a task sorts one bin of one group.
+    Rows are dealt to ranges of group and order, once and into the shared folder, and numbered within their range; what a range adds to is the
+    number of rows that its first group has in earlier ranges. So a task sorts one range, whatever the sizes of the groups.
     """
-    binned = df.withColumn("__bin", rank_bin)
-    sizes = binned.groupBy(*group, "__bin").agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*group) if group else Window.partitionBy()
-    sizes = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__bin").alias("__b"), (F.sum("__n").over(w.orderBy("__bin")) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("__total"))
-    both = binned.join(sizes, _same(binned, sizes, group) & F.col("__bin").eqNullSafe(F.col("__b")))
-    number = F.col("__before") + F.row_number().over(Window.partitionBy(*group, "__bin").orderBy(*order))
-    out = both.withColumn(rank, number.cast("long"))
+    placed = ranged(df, group, order)
+    sizes = placed.groupBy(*group, "__range").agg(F.count("*").alias("__rows"))
+    if group:
+        w = Window.partitionBy(*group)
+        sums = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__range").alias("__r"), (F.sum("__rows").over(w.orderBy("__range")) - F.col("__rows")).alias("__before"), F.sum("__rows").over(w).alias("__total"), F.count("*").over(w).alias("__ranges"))
+        on = reduce(Column.__and__, (F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)), F.col("__range") == F.col("__r"))
+        # only groups that go on in another range: at most two rows a range
+        placed = placed.join(F.broadcast(sums.where("__ranges > 1")), on, "left").drop("__r", "__ranges", *[f"__g{i}" for i in range(len(group))])
+    else:
+        rows = dict(sizes.collect())  # one row a range
+        before = {r: sum(n for q, n in rows.items() if q < r) for r in rows}
+        at = F.create_map(*[F.lit(x) for r in before for x in (r, before[r])])[F.col("__range")] if rows else F.lit(0)
+        placed = placed.withColumns({"__before": at, "__total": F.lit(sum(rows.values()))})
+    own = Window.partitionBy(*group, "__range")
+    out = placed.withColumn(rank, (F.coalesce("__before", F.lit(0)) + F.row_number().over(own.orderBy(*order))).cast("long"))
     keep = [*df.columns, rank]
     if total:
-        out, keep = out.withColumn(total, F.col("__total")), [*keep, total]
+        out, keep = out.withColumn(total, F.coalesce("__total", F.count("*").over(own)).cast("long")), [*keep, total]
     return out.select(*keep)
 
 
 def ranked_by_score(df: DataFrame, group: list[str], score: str, tie: list[str], rank: str = "rank", total: str | None = None) -> DataFrame:
-    """ranked() by falling score, nulls last, ties by the tie columns; the bins are approximate quantiles of the group."""
-    edges = df.groupBy(*group).agg(F.percentile_approx(score, [i / BINS for i in range(1, BINS)], 1000).alias("__edges"))
-    edges = edges.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], "__edges")
-    both = df.join(edges, _same(df, edges, group), "left").drop(*[f"__g{i}" for i in range(len(group))])
-    place = F.when(F.col(score).isNull(), BINS).otherwise(F.size(F.filter("__edges", lambda e: e > F.col(score))))
-    return ranked(both, group, [F.col(score).desc_nulls_last(), *map(F.col, tie)], place, rank, total).drop("__edges")
+    """ranked() by falling score, nulls last, ties by the tie columns."""
+    return ranked(df, group, [F.col(score).desc_nulls_last(), *map(F.col, tie)], rank, total)
 
 
 def ranked_by_seed(df: DataFrame, group: list[str], key: str, seed: int = 0, rank: str = "rank", total: str | None = None) -> DataFrame:
     """ranked() by a seeded hash of the key."""
-    order = seeded_key(key, seed)
-    return ranked(df, group, [order, F.col(key)], F.substring(order, 1, 2), rank, total)
+    return ranked(df, group, [seeded_key(key, seed), F.col(key)], rank, total)
 
 
 def top_percent(df: DataFrame, group: str | None, score: str, percent: float, tie: str) -> DataFrame:
@@ -105,11 +103,8 @@ def balanced(df: DataFrame, label: str, order: list[str], limit: int | None = No
     """The first rows of each label, as many as the smallest label has, and at most limit // number of labels."""
     counts = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("__least"), F.count("*").alias("__labels"))
     most = F.col("__least") if limit is None else F.least("__least", F.floor(F.lit(limit) / F.col("__labels")))
-    edges = F.percentile_approx(order[0], [i / BINS for i in range(1, BINS)], 1000)
-    # one row each
-    both = df.join(F.broadcast(df.agg(edges.alias("__edges"))))
-    place = F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col(order[0]))), F.lit(-1))
-    out = ranked(both, [label], [F.col(c).asc_nulls_first() for c in order], F.when(F.col(order[0]).isNull(), -1).otherwise(place), "__rank")
+    out = ranked(df, [label], [F.col(c).asc_nulls_first() for c in order], "__rank")
+    # one row
     return out.join(F.broadcast(counts)).where(F.col("__rank") <= most).select(*df.columns)
 
 
@@ -141,11 +136,7 @@ def batches(df: DataFrame, label: str, key: str, size: int, seed: int = 0) -> Da
 def ordinal(df: DataFrame, value: str, order: str | None = None, name: str = "ordinal") -> DataFrame:
     """df with the number of its value from 0: by value, or by where the value first appears in `order`."""
     per = df.groupBy(value).agg(F.min(order or value).alias("__first"))
-    quantiles = per.agg(F.percentile_approx(F.col("__first").cast("double"), [i / BINS for i in range(1, BINS)], 1000).alias("__edges"))
-    # one row
-    both = per.join(F.broadcast(quantiles))
-    place = F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col("__first").cast("double"))), F.lit(-1))
-    numbers = ranked(both, [], [F.col("__first"), F.col(value)], place, "__rank").select(F.col(value).alias("__value"), (F.col("__rank") - 1).alias(name))
+    numbers = ranked(per, [], [F.col("__first"), F.col(value)], "__rank").select(F.col(value).alias("__value"), (F.col("__rank") - 1).alias(name))
     return df.join(numbers, F.col(value).eqNullSafe(F.col("__value"))).drop("__value")
 
 

@@ -119,6 +119,11 @@ def precision_at_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("target", F.round("precision", 6).alias("precision"))
 
 
+def interpolated_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.interpolated_precision(table(spark, sf_dir, "lineitem"), F.col("l_extendedprice"), F.expr(_R), [0.05, 0.25, 0.5, 0.9, 0.95, 0.99])
+    return out.select("target", F.round("threshold", 2).alias("threshold"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "best")])
+
+
 def confusion_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = metrics.confusion(table(spark, sf_dir, "lineitem"), F.col("l_returnflag"), F.col("l_linestatus"), shares=True)
     return out.withColumn("share", F.round("share", 6))
@@ -186,7 +191,7 @@ _MI = " UNION ALL ".join(f"SELECT '{v}' AS value, l_returnflag AS f, least(floor
 _CORR = "(SELECT corr({a}, {b}) FROM lineitem)"
 _K = "exp(-list_sum(list_transform(list_zip({a}, {b}), lambda z: pow(z[1] - z[2], 2))) / 2)"
 
-QUERIES = {f.__name__: f for f in (recall_grid, macro_recall, hit_positions, similarity_spread, filtered_neighbours, nearest_with_self, reranked, all_neighbours, cell_recall, kernels, rates, price_curve, error_tradeoff, threshold_scores, best_accuracy, precision_at_recalls, confusion_shares, price_summary, scaled_prices, partial_correlations, shared_information, kernel_test, best_epochs, majority_status, limited_template)}
+QUERIES = {f.__name__: f for f in (recall_grid, macro_recall, hit_positions, similarity_spread, filtered_neighbours, nearest_with_self, reranked, all_neighbours, cell_recall, kernels, rates, price_curve, error_tradeoff, threshold_scores, best_accuracy, precision_at_recalls, interpolated_precision, confusion_shares, price_summary, scaled_prices, partial_correlations, shared_information, kernel_test, best_epochs, majority_status, limited_template)}
 ORACLES = {
     "recall_grid": _HITS + "SELECT label, k, found, total, round(recall, 6) AS recall FROM r",
     "macro_recall": _HITS + "SELECT k, round(avg(recall), 6) AS macro, round(sum(found) / sum(total), 6) AS micro FROM r WHERE k <= 10 GROUP BY k",
@@ -204,6 +209,7 @@ ORACLES = {
     "threshold_scores": "WITH c AS (SELECT count(*) FILTER (l_quantity > 25) AS c, count(*) FILTER (l_quantity > 25 AND l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'R') AS p FROM lineitem) SELECT round(r / c, 6) AS precision, round(r / p, 6) AS recall, round(2 * r / (c + p), 6) AS f1 FROM c",
     "best_accuracy": "WITH t AS (SELECT unnest([5.0, 10, 20, 40, 45]) AS t UNION ALL SELECT median(l_quantity) FROM lineitem) SELECT CAST(t AS DOUBLE) AS threshold, round(avg(CASE WHEN (l_quantity > t) = (l_returnflag = 'R') THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM lineitem, t GROUP BY t ORDER BY accuracy DESC, t LIMIT 1",
     "precision_at_recalls": _CURVE.format(s=_SCORE) + " SELECT CAST(g AS DOUBLE) AS target, round(max(tp / seen) FILTER (tp / pos >= g), 6) AS precision FROM t, (SELECT unnest([0.1::DOUBLE, 0.25, 0.5, 0.9, 1.0]) AS g) GROUP BY g",
+    "interpolated_precision": _CURVE.format(s=_SCORE) + ", u AS (SELECT s, tp / seen AS p, tp / pos AS r FROM t) SELECT CAST(g AS DOUBLE) AS target, round(max(s) FILTER (r > g + 0.01::DOUBLE), 2) AS threshold, round(coalesce(arg_min(p, s) FILTER (r <= g + 0.01::DOUBLE), 1), 6) AS precision, round(coalesce(arg_min(r, s) FILTER (r <= g + 0.01::DOUBLE), 0), 6) AS recall, round(max(p) FILTER (r > g + 0.01::DOUBLE), 6) AS best FROM u, (SELECT unnest([0.05::DOUBLE, 0.25, 0.5, 0.9, 0.95, 0.99]) AS g) GROUP BY g",
     "confusion_shares": "WITH c AS (SELECT l_returnflag AS label, l_linestatus AS predicted, count(*) AS n FROM lineitem GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY label), 6) AS share FROM c",
     "price_summary": "SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, round(stddev_pop(l_extendedprice), 4) AS std, round(min(l_extendedprice), 4) AS min, round(max(l_extendedprice), 4) AS max FROM lineitem GROUP BY 1",
     "scaled_prices": "SELECT p_partkey, round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 6) AS scaled, round(max(p_retailprice) OVER () - p_retailprice, 6) AS affinity FROM part",

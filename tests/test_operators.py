@@ -388,3 +388,14 @@ def test_rows_are_numbered_without_gaps(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k")).repartition(6)
     out, total = scans.numbered(df, ["k"], "n")
     assert total == 1000 and {(r.k, r.n) for r in out.collect()} == {(i, i + 1) for i in range(1000)}
+
+
+def test_interpolated_precision_follows_the_curve(scored):
+    r = np.random.default_rng(12)
+    s, y = np.round(r.random(80), 2), r.random(80) < 0.4
+    got = metrics.interpolated_precision(scored([(float(a), bool(b)) for a, b in zip(s, y, strict=True)]), F.col("s"), F.col("y"), [0.05, 0.3, 0.5, 0.9, 0.95]).collect()
+    cuts = np.unique(s)
+    prec, rec = (np.array([*(y[s >= c].sum() / d(c) for c in cuts), end]) for d, end in ((lambda c: (s >= c).sum(), 1.0), (lambda c: y.sum(), 0.0)))
+    for x in got:
+        i = rec.size - np.searchsorted(rec[::-1], x.target + 0.01, side="right")
+        assert (x.precision, x.recall, x.best, x.threshold) == pytest.approx((prec[i], rec[i], prec[:i].max(), cuts[i - 1]))
