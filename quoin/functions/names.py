@@ -111,15 +111,37 @@ def damage_place(name: Column) -> Column:
     return F.when(name.rlike(pattern), F.array(at(1), at(2))).otherwise(F.array(F.lit(-1), F.lit(-1)))
 
 
-#: Fixed format of a perturbed item's name.
-_PERTURBED = r"^(.*?_perturb)[0-9]+_([a-z]+)_([0-9]+)_damage_(.+)_globalink_([a-z]+)_localink_([a-z]+)_[12]\.tif$"
-_ORIGINAL = r"^(.*?_perturb)[0-9]+_([a-z]+)_([0-9]+)_original\.tif$"
+def _digits(text: Column) -> Column:
+    return (text != "") & (F.translate(text, "0123456789", "") == "")
+
+
+def _small_letters(text: Column) -> Column:
+    return (text != "") & (F.translate(text, "abcdefghijklmnopqrstuvwxyz", "") == "")
 
 
 def perturbation(name: Column) -> Column:
-    """stamp, kind, timestamp, damages, global_ink, local_ink of a perturbed item's name; of an original without the last three; null fields for other names."""
-    field = lambda i: F.nullif(F.when(name.rlike(_PERTURBED), F.regexp_extract(name, _PERTURBED, i)).otherwise(F.regexp_extract(name, _ORIGINAL, min(i, 3)) if i <= 3 else F.lit(None)), F.lit(""))
-    return F.struct(field(1).alias("stamp"), field(2).alias("kind"), field(3).try_cast("long").alias("timestamp"), F.split(field(4), "_").alias("damages"), field(5).alias("global_ink"), field(6).alias("local_ink"))
+    """stamp, kind, timestamp, damages, global_ink, local_ink of a perturbed item's name; of an original without the last three; null fields for other names.
+
+    Names are taken apart at the words that mark their parts: up to perturb the stamp, then number, kind and time, then what damages there are and the two inks.
+    """
+    damage, inks, original = "_damage_", "_globalink_", "_original.tif"
+    at = F.instr(name, damage)
+    head = F.when(at > 0, F.left(name, at - 1)).when(name.endswith(original), F.left(name, F.length(name) - len(original)))
+    stamp_end = F.instr(head, "_perturb") + len("_perturb") - 1
+    code = F.split(F.substr(head, stamp_end + 1), "_")
+    known = (stamp_end >= len("_perturb")) & (F.size(code) == 3) & _digits(F.get(code, 0)) & _small_letters(F.get(code, 1)) & _digits(F.get(code, 2))
+    tail = F.split_part(name, F.lit(inks), F.lit(-1))
+    ink = F.split(tail, "_")
+    inked = name.contains(inks) & (F.size(ink) == 4) & _small_letters(F.get(ink, 0)) & (F.get(ink, 1) == "localink") & _small_letters(F.get(ink, 2)) & F.get(ink, 3).isin("1.tif", "2.tif")
+    start = at + len(damage)
+    damages = F.substr(name, start, F.length(name) - F.length(tail) - len(inks) - start + 1)
+    whole = F.when(at > 0, inked & (damages != "")).otherwise(F.lit(True))
+    field = lambda c: F.when(known & whole, c)
+    of_damage = lambda c: F.when(known & whole & (at > 0), c)
+    return F.struct(
+        field(F.left(head, stamp_end)).alias("stamp"), field(F.get(code, 1)).alias("kind"), field(F.get(code, 2).try_cast("long")).alias("timestamp"),
+        of_damage(F.split(damages, "_")).alias("damages"), of_damage(F.get(ink, 0)).alias("global_ink"), of_damage(F.get(ink, 2)).alias("local_ink"),
+    )
 
 
 def perturbation_tokens(name: Column) -> Column:
@@ -217,10 +239,11 @@ def is_missing(value: Column) -> Column:
     return value.isNull() | (value == "")
 
 
-def paragraph_groups(text: Column) -> Column:
-    """(group, line) of the lines of a text in which blank lines part groups, both from 0; explode it with inline."""
+def paragraph_groups(text: Column, after: Column | None = None) -> Column:
+    """(group, line) of the lines of a text in which blank lines part groups; explode it with inline. Groups count from 0, or on from `after`, the largest number in use."""
+    first = F.lit(0) if after is None else after + 1
     groups = F.filter(F.split(text, r"\n\s*\n"), lambda g: F.trim(g) != "")
-    lines = F.transform(groups, lambda g, i: F.transform(F.filter(F.split(g, "\n"), lambda x: F.trim(x) != ""), lambda x: F.struct(i.alias("group"), F.trim(x).alias("line"))))
+    lines = F.transform(groups, lambda g, i: F.transform(F.filter(F.split(g, "\n"), lambda x: F.trim(x) != ""), lambda x: F.struct((i + first).cast("int").alias("group"), F.trim(x).alias("line"))))
     return F.flatten(lines)
 
 

@@ -162,3 +162,30 @@ def assert_disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
 def missing_values(domain: DataFrame, df: DataFrame, key: str) -> DataFrame:
     """The values of the domain that df lacks."""
     return domain.select(key).distinct().join(df.select(key).distinct(), key, "left_anti")
+
+
+def completed(df: DataFrame, domain: DataFrame, keys: list[str], rest: dict[str, object]) -> DataFrame:
+    """A row of df for each row of the domain's keys (null keys included), with the given values where df has none; rows of df outside the domain are left out."""
+    own = df.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], *rest)
+    on = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)))
+    out = domain.select(*keys).distinct().join(own, on, "left")
+    return out.select(*keys, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in rest.items()])
+
+
+def first_seeded(df: DataFrame, group: list[str], key: str, k: int, seed: int = 0) -> DataFrame:
+    """The first k rows of each group, or of all, in seeded order; each task passes on k rows of a group at most."""
+    if not group:
+        return df.orderBy(seeded_key(key, seed), key).limit(k)
+    w = Window.partitionBy(*group).orderBy(seeded_key(key, seed), key)
+    return df.withColumn("__at", F.row_number().over(w)).where(F.col("__at") <= k).drop("__at")
+
+
+def by_distance_from_mean(df: DataFrame, label: str, key: str, vector: str) -> DataFrame:
+    """df with distance from the mean vector of its label, and its rank by that (ties by key); null vectors count for nothing and have neither."""
+    known = df.where(F.col(vector).isNotNull())
+    sums = known.select(label, F.posexplode(vector).alias("place", "x")).groupBy(label, "place").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    # a row per label and place: the mean of a label is as long as one vector
+    mean = sums.groupBy(F.col(label).alias("__label")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("__mean"))
+    near = known.join(mean, F.col(label).eqNullSafe(F.col("__label")))
+    apart = F.sqrt(F.aggregate(F.zip_with(vector, "__mean", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v))
+    return ranked(near.withColumn("distance", apart).select(*df.columns, "distance"), [label], [F.round("distance", 9), F.col(key)], "rank")

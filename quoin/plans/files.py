@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quoin.sources import binary, sinks, text
 from quoin.sources.storage import shared_path
@@ -45,8 +45,8 @@ def match_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("candidate"), F.col("o_totalprice").alias("score"))
-    best = e.groupBy("query").agg(F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("score", (-F.col("candidate")).alias("c"))))), 1, 4).alias("b"))
-    ranked = best.select("query", F.posexplode("b").alias("at", "x")).select("query", (F.col("at") + 1).alias("rank"), (-F.col("x.c")).alias("candidate"), F.col("x.score").alias("score"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
+    ranked = e.withColumn("rank", F.row_number().over(best)).where("rank <= 4")
     return text.wide_neighbours(spark, _written(sinks.wide_rows(ranked, 4), "row", "wide")).withColumn("score", F.round("score", 3))
 
 
@@ -74,12 +74,12 @@ def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_type", "event_id", F.concat(F.lit("*** ['"), "event_type", F.lit("'] best_value: "), F.format_string("%.2f", "value"), F.when(F.col("event_id") % 3 == 0, "").otherwise(" >>> step"), F.lit("\n")).alias("line"))
-    logs = e.groupBy("event_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "").alias("log"))
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", F.concat(F.lit("*** ['"), "event_type", F.lit("'] best_value: "), F.format_string("%.2f", "value"), F.when(F.col("event_id") % 3 == 0, "").otherwise(" >>> step")).alias("line"))
     path = shared_path(spark, "logs")
-    logs.select("event_type", "log").write.partitionBy("event_type").text(path)
-    found = text.log_values(spark, path, r"\*\*\* \['([a-z_]+)'\] best_value: ([0-9.]+)")
-    per = found.groupBy("file", "name").agg(F.count("*").alias("n"), F.max_by("value", "ord").alias("last"), F.max("value").alias("best"))
+    # a log is a folder of files by the first digits of its lines' numbers, each in order
+    e.withColumn("chunk", F.format_string("c%012d", F.floor(F.col("event_id") / 1000))).repartition("event_type", "chunk").sortWithinPartitions("event_type", "chunk", "event_id").select("event_type", "chunk", "line").write.partitionBy("event_type", "chunk").text(path)
+    found = text.log_values(spark, path, r"\*\*\* \['([a-z_]+)'\] best_value: ([0-9.]+)", folders=["event_type", "chunk"])
+    per = found.groupBy("event_type", "name").agg(F.count("*").alias("n"), F.max_by("value", F.struct("chunk", "file", "ord")).alias("last"), F.max("value").alias("best"))
     return per.select("name", "n", "last", "best")
 
 

@@ -176,6 +176,11 @@ def limited_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(centre, "label").select("vec_id", "label", F.round(vectors.distance(F.col("embedding"), F.col("mean")), 5).alias("distance"))
 
 
+def template_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ranking.by_distance_from_mean(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    return out.select("vec_id", "label", F.round("distance", 5).alias("distance"), "rank")
+
+
 _HITS = """
 WITH e AS (SELECT vec_id, label, vec_id % 7 AS book, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (
   SELECT a.vec_id AS query_id, b.vec_id AS id, a.label, b.label AS hit, a.book AS qbook, b.book, list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(z[1] - z[2], 2))) AS d,
@@ -191,7 +196,7 @@ _MI = " UNION ALL ".join(f"SELECT '{v}' AS value, l_returnflag AS f, least(floor
 _CORR = "(SELECT corr({a}, {b}) FROM lineitem)"
 _K = "exp(-list_sum(list_transform(list_zip({a}, {b}), lambda z: pow(z[1] - z[2], 2))) / 2)"
 
-QUERIES = {f.__name__: f for f in (recall_grid, macro_recall, hit_positions, similarity_spread, filtered_neighbours, nearest_with_self, reranked, all_neighbours, cell_recall, kernels, rates, price_curve, error_tradeoff, threshold_scores, best_accuracy, precision_at_recalls, interpolated_precision, confusion_shares, price_summary, scaled_prices, partial_correlations, shared_information, kernel_test, best_epochs, majority_status, limited_template)}
+QUERIES = {f.__name__: f for f in (recall_grid, macro_recall, hit_positions, similarity_spread, filtered_neighbours, nearest_with_self, reranked, all_neighbours, cell_recall, kernels, rates, price_curve, error_tradeoff, threshold_scores, best_accuracy, precision_at_recalls, interpolated_precision, confusion_shares, price_summary, scaled_prices, partial_correlations, shared_information, kernel_test, best_epochs, majority_status, limited_template, template_ranks)}
 ORACLES = {
     "recall_grid": _HITS + "SELECT label, k, found, total, round(recall, 6) AS recall FROM r",
     "macro_recall": _HITS + "SELECT k, round(avg(recall), 6) AS macro, round(sum(found) / sum(total), 6) AS micro FROM r WHERE k <= 10 GROUP BY k",
@@ -218,5 +223,6 @@ ORACLES = {
     "kernel_test": f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.v AS a, b.v AS b, c.v AS c, d.v AS d FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 JOIN e c ON c.vec_id = a.vec_id + 2 JOIN e d ON d.vec_id = a.vec_id + 3 WHERE a.vec_id % 4 = 0), h AS (SELECT {_K.format(a='a', b='b')} + {_K.format(a='c', b='d')} - {_K.format(a='a', b='d')} - {_K.format(a='b', b='c')} AS h FROM p) SELECT round(avg(h), 7) AS mmd2, round(avg(h) / sqrt(var_samp(h) / count(*)), 5) AS z FROM h",
     "best_epochs": "SELECT user_id, arg_max(event_id, (round(value, 2), -event_id)) AS epoch, max(round(value, 2)) AS value FROM events GROUP BY user_id",
     "majority_status": "SELECT o_custkey, arg_max(o_orderstatus, (n, o_orderstatus)) AS status FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_custkey",
+    "template_ranks": "WITH x AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL), d AS (SELECT vec_id, label, sqrt(sum(pow(x - m, 2))) AS d FROM x JOIN m USING (label, i) GROUP BY ALL) SELECT vec_id, label, round(d, 5) AS distance, row_number() OVER (PARTITION BY label ORDER BY round(d, 9), vec_id) AS rank FROM d",
     "limited_template": "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(concat('2:', vec_id)), vec_id) <= 20), x AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL) SELECT vec_id, label, round(sqrt(sum(pow(x - m, 2))), 5) AS distance FROM x JOIN m USING (label, i) GROUP BY ALL",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quoin.functions import names
 from quoin.operators import joins, ranking
@@ -69,8 +69,22 @@ def repeated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    per = e.groupBy("user_id", "event_type").agg(F.slice(F.sort_array(F.collect_list("event_id")), 1, 6).alias("ids"))
-    return per.select(F.explode("ids").alias("event_id"))
+    first = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    return e.withColumn("at", F.row_number().over(first)).where("at <= 6").select("event_id")
+
+
+def every_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of every customer and status, also of those without any."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    domain = c.select(F.col("c_custkey").alias("o_custkey")).join(o.select("o_orderstatus").distinct())
+    per = o.groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("price"))
+    return ranking.completed(per, domain, ["o_custkey", "o_orderstatus"], {"n": 0, "price": 0.0}).select("o_custkey", "o_orderstatus", "n", F.round("price", 2).alias("price"))
+
+
+def chosen_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two parts of each brand in seeded order, from a folder of files in folders."""
+    p = table(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("/d/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".tif")).alias("path"))
+    return ranking.first_seeded(p, ["p_brand"], "path", 2, 11)
 
 
 _BUILT = """concat('/data/', if(o_orderkey % 7 = 0, 'letters/', 'char_'), char(65 + o_custkey % 26), '/anon_R', o_custkey, '_iur_8_essayREDO', year(o_orderdate), if(o_orderkey % 5 = 0, 'B', ''), '-',
@@ -161,7 +175,7 @@ def cube_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEED = "row_number() OVER (ORDER BY md5(concat('{}:', {})), {})"
-QUERIES = {f.__name__: f for f in (top_percent_overall, top_fraction_per_status, top_above, prefix_split, alternating_split, group_split, balanced_with_limit, class_batches, value_ordinals, consecutive_pairs, first_by_name, missing_customers, repeated_rows, first_events, path_fields, gathering_order, workbench_rows, perturbed_names, paragraph_lines, absent_or_above, closed_pages, any_word, glob_matches, first_range, event_props, cube_counts)}
+QUERIES = {f.__name__: f for f in (top_percent_overall, top_fraction_per_status, top_above, prefix_split, alternating_split, group_split, balanced_with_limit, class_batches, value_ordinals, consecutive_pairs, first_by_name, missing_customers, repeated_rows, first_events, every_status, chosen_files, path_fields, gathering_order, workbench_rows, perturbed_names, paragraph_lines, absent_or_above, closed_pages, any_word, glob_matches, first_range, event_props, cube_counts)}
 ORACLES = {
     "top_percent_overall": "SELECT o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) <= ceil(count(*) OVER () * 2.5::DOUBLE / 100)",
     "top_fraction_per_status": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) <= floor(count(*) OVER (PARTITION BY o_orderstatus) * 0.013::DOUBLE)",
@@ -176,6 +190,8 @@ ORACLES = {
     "first_by_name": "SELECT p_brand AS name, CAST(min(CASE WHEN p_size < 5 THEN 0 ELSE 1 END) AS INT) AS source, coalesce(min(p_partkey) FILTER (p_size < 5), min(p_partkey)) AS place FROM part GROUP BY p_brand",
     "missing_customers": "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "repeated_rows": "SELECT r_regionkey, CAST(i AS INT) AS round FROM region, range(1, 4) t(i)",
+    "every_status": "WITH p AS (SELECT o_custkey, o_orderstatus, count(*) AS n, sum(o_totalprice) AS price FROM orders GROUP BY ALL) SELECT c_custkey AS o_custkey, s.o_orderstatus, coalesce(n, 0) AS n, round(coalesce(price, 0), 2) AS price FROM customer CROSS JOIN (SELECT DISTINCT o_orderstatus FROM orders) s LEFT JOIN p ON p.o_custkey = c_custkey AND p.o_orderstatus = s.o_orderstatus",
+    "chosen_files": "WITH p AS (SELECT p_brand, concat('/d/', p_brand, '/', p_partkey, '.tif') AS path FROM part) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat('11:', path)), path) <= 2",
     "first_events": "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) <= 6",
     "path_fields": f"""WITH p AS (SELECT *, {_BUILT_SQL} AS path FROM orders), b AS (SELECT *, split_part(path, '/', -1) AS base, CASE WHEN o_orderkey % 7 = 0 THEN chr(CAST(65 + o_custkey % 26 AS INT)) ELSE concat('char_', chr(CAST(65 + o_custkey % 26 AS INT))) END AS parent FROM p), c AS (
 SELECT *, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 4 = 0 THEN chr(CAST(97 + o_orderkey % 26 AS INT)) WHEN o_orderkey % 7 = 0 THEN parent WHEN NOT contains(base, 'uc') THEN right(split_part(base, '.', 1), 1) END AS letter,

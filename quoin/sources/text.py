@@ -64,11 +64,15 @@ def wide_neighbours(spark: SparkSession, path: str, sep: str = "|", k: int | Non
     return out.select("query", (F.col("at") + 1).alias("rank"), "p.candidate", F.col("p.score").try_cast("double").alias("score")).where("score IS NOT NULL")
 
 
-def log_values(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """file, ord, name, value: what a pattern of two groups finds in the lines of logs, numbered within its file; a file is one task's, as lines have no order otherwise."""
-    logs = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+def log_values(spark: SparkSession, path: str, pattern: str, folders: list[str] | None = None) -> DataFrame:
+    """file, ord, name, value: what a pattern of two groups finds in the lines of logs, numbered within its file, and the values of the folders (`name=value`) that it lies in.
+
+    A file is one task's, as lines have no order otherwise: a long log should be a folder of files.
+    """
+    folders = folders or []
+    logs = spark.read.option("wholetext", "true").option("basePath", path).text(path).select(F.col("_metadata.file_name").alias("file"), *[F.col(c).cast("string").alias(c) for c in folders], "value")
     found = F.arrays_zip(F.regexp_extract_all("value", F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all("value", F.lit(pattern), F.lit(2)).alias("value"))
-    return logs.select("file", F.posexplode(found).alias("ord", "m")).select("file", "ord", "m.name", F.col("m.value").try_cast("double").alias("value"))
+    return logs.select("file", *folders, F.posexplode(found).alias("ord", "m")).select("file", *folders, "ord", "m.name", F.col("m.value").try_cast("double").alias("value"))
 
 
 def labelled_union(parts: list[tuple[DataFrame, int]]) -> DataFrame:

@@ -399,3 +399,48 @@ def test_interpolated_precision_follows_the_curve(scored):
     for x in got:
         i = rec.size - np.searchsorted(rec[::-1], x.target + 0.01, side="right")
         assert (x.precision, x.recall, x.best, x.threshold) == pytest.approx((prec[i], rec[i], prec[:i].max(), cuts[i - 1]))
+
+
+def test_perturbed_names_are_taken_apart(spark):
+    cases = {
+        "a_b_perturb12_anomaly_170_damage_thin_swell_globalink_high_localink_low_1.tif": ("a_b_perturb", "anomaly", 170, ["thin", "swell"], "high", "low"),
+        "a_perturb1_x_2_damage_y_globalink_b_localink_c_2.tif": ("a_perturb", "x", 2, ["y"], "b", "c"),
+        "a_perturb1_x_2_original.tif": ("a_perturb", "x", 2, None, None, None),
+        **dict.fromkeys(["a_perturb_x_2_original.tif", "a_perturb1_X_2_original.tif", "a_perturb1_x_2_damage_y_globalink_b_localink_c_3.tif", "a_perturb1_x_2_damage_y_localink_c_1.tif", "a_perturb1_x_2.tif", "", "a_perturb1_x_y_2_original.tif", "a_perturb1_x_2_damage__globalink_b_localink_c_1.tif"], (None,) * 6),
+    }
+    df = spark.createDataFrame([(n,) for n in [*cases, None]], "n string")
+    got = {r.n: tuple(r.p) for r in df.select("n", names.perturbation(F.col("n")).alias("p")).collect()}
+    assert got == {**cases, None: (None,) * 6}
+
+
+def test_completion_seeded_choice_and_paragraphs(spark):
+    df = spark.createDataFrame([(1, "a", 5), (None, "b", 6), (9, "z", 1)], "k int, s string, n int")
+    domain = spark.createDataFrame([(k, s) for k in (1, 2, None) for s in "ab"], "k int, s string")
+    got = {(r.k, r.s): r.n for r in ranking.completed(df, domain, ["k", "s"], {"n": 0}).collect()}
+    assert got == {(1, "a"): 5, (1, "b"): 0, (2, "a"): 0, (2, "b"): 0, (None, "a"): 0, (None, "b"): 6}
+    files = spark.range(50).select((F.col("id") % 3).alias("g"), F.col("id").cast("string").alias("path"))
+    assert ranking.first_seeded(files, ["g"], "path", 4, 1).groupBy("g").count().where("count = 4").count() == 3 and ranking.first_seeded(files, [], "path", 7, 1).count() == 7
+    lines = spark.createDataFrame([("a\nb\n\n c \n",)], "t string")
+    assert [tuple(r) for r in lines.select(F.inline(names.paragraph_groups(F.col("t"), F.lit(4)))).collect()] == [(5, "a"), (5, "b"), (6, "c")]
+
+
+def test_rank_by_distance_from_the_mean(spark):
+    r = np.random.default_rng(13)
+    rows = [(i, i % 3 or None, r.normal(size=4).tolist()) for i in range(30)] + [(99, 1, None)]
+    got = {x.k: (round(x.distance, 9), x["rank"]) for x in ranking.by_distance_from_mean(spark.createDataFrame(rows, "k int, g int, v array<double>"), "g", "k", "v").collect()}
+    assert 99 not in got and len(got) == 30
+    for g in (1, 2, None):
+        x = {k: np.array(v) for k, h, v in rows if h == g and v}
+        mean = np.mean(list(x.values()), axis=0)
+        want = sorted((round(float(np.linalg.norm(v - mean)), 9), k) for k, v in x.items())
+        assert [got[k] for _, k in want] == [(d, i + 1) for i, (d, _) in enumerate(want)]
+
+
+def test_first_events_of_a_stream(spark, tmp_path):
+    from quoin.streaming import manifests
+
+    rows = [(i % 5, f"2024-01-01 00:{i:02}:00") for i in range(20)]
+    spark.createDataFrame(rows, "k int, t string").selectExpr("k", "cast(t AS timestamp) AS t").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, t timestamp").parquet(str(tmp_path / "in"))
+    manifests.first_seen(stream, "k", "t", "1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3, 4]
