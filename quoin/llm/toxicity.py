@@ -12,8 +12,10 @@ nor on that of the labels.
 
 Vocabulary sums and the moments of length come from all texts of the training split, confirmed ones and others. The rows of
 the gradient steps and of the calibration are those with the smallest seeded hashes, at most MAX_POSITIVE, MAX_UNLABELLED
-and MAX_CLEAN of each kind, written once to the shared folder; only sums per feature of the confirmed texts and the sparse
-rows over the chosen vocabulary reach the driver. Scoring is one pass over all whole texts without a shuffle.
+and MAX_CLEAN of each kind, written once to the shared folder; only sums of at most MAX_FEATURES features and the sparse
+rows over the chosen vocabulary reach the driver. The risk's unlabelled mean is over MAX_UNLABELLED texts, so that its standard error is
+that of one text over 126. A fold's fit has its vocabulary and lifts from the other folds' confirmed texts, so that calibration sees decisions
+on labels that had no part in them. Scoring is one pass over all whole texts without a shuffle.
 
 Defined results: null and empty texts are scored as short texts without features, which are not toxic (lengths count within REACH spreads); labels with a null id or null label are
 unlabelled; of several labels of one id the highest counts; without confirmed texts all scores are 0; an empty table gives an
@@ -39,6 +41,8 @@ MAX_POSITIVE = 8000
 MAX_UNLABELLED = 16000
 #: Rows with a non-toxic label, for calibration.
 MAX_CLEAN = 8000
+#: Features that a model may choose from, those of the largest sums in confirmed texts; and confirmed ids that are sent to all executors.
+MAX_FEATURES, SENT = 400_000, 1 << 20
 FOLDS = 3
 PREFIXES = (4, 5, 6, 7)
 #: A feature counts if its values in confirmed texts sum to this, and its log lift exceeds LIFT.
@@ -172,8 +176,12 @@ def _calibrate(z: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> tuple
     return float(a), float(b)
 
 
+def _fold(text: str | None) -> int:
+    return crc32((text or "").encode()) % FOLDS
+
+
 def _sums(known: set[str] | None):
-    """Rows (positive, text) to per-task sums of log(1 + count) by feature, and by MOMENTS: of 1, log(1 + words) and its square."""
+    """Texts to per-task sums of log(1 + count) by feature, and by MOMENTS: of 1, log(1 + words) and its square. known: which features count; without, all do, by the text's fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -181,19 +189,20 @@ def _sums(known: set[str] | None):
         first = heads(known or ())
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["feature", "value"])
+            return pa.RecordBatch.from_arrays([pa.array([f for f, _ in total], pa.int32()), pa.array([x for _, x in total], pa.string()), pa.array(list(total.values()), pa.float64())], names=["fold", "feature", "value"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
+                fold = _fold(text) if known is None else 0
                 if known is None:
                     found, words = features(text or "")
                 else:
                     split = (text or "").lower().split()
                     found, words = known_features(split, known, first, cache), len(split)
                 for x, v in zip(MOMENTS, (1.0, log1p(words), log1p(words) ** 2), strict=True):
-                    total[x] += v
+                    total[fold, x] += v
                 for x, n in found.items():
-                    total[x] += log1p(n)
+                    total[fold, x] += log1p(n)
                 if len(total) > 200_000:
                     yield out()
                     total.clear()
@@ -209,7 +218,7 @@ def _sparse(number: dict[str, int]):
             for key, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found, n = features(text or "")
                 kept = [(number[x], log1p(k)) for x, k in found.items() if x in number]
-                rows.append({"key": key, "kind": kind, "fold": crc32((text or "").encode()) % FOLDS, "words": n, "index": [i for i, _ in kept], "value": [v for _, v in kept]})
+                rows.append({"key": key, "kind": kind, "fold": _fold(text), "words": n, "index": [i for i, _ in kept], "value": [v for _, v in kept]})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("fold", pa.int32()), ("words", pa.int32()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]))
 
     return run
@@ -231,37 +240,52 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = reduce(DataFrame.unionByName, (df.withColumn("kind", F.lit(k)) for k, df in kinds.items()))
     # at most MAX_POSITIVE + MAX_UNLABELLED + MAX_CLEAN ids
     sample = materialize(rows.join(F.broadcast(chosen), "id").select("id", "kind", "text"))
-
-    def sums(of: DataFrame, known: set[str] | None) -> dict[str, float]:
-        found = of.select("text").mapInArrow(_sums(known), "feature string, value double").groupBy("feature").agg(F.sum("value").alias("value"))
-        return dict((found if known is not None else found.where((F.col("value") >= SUPPORT) | F.col("feature").isin(*MOMENTS))).collect())
-
     counted = {kind: c for kind, c in sample.groupBy("kind").count().collect()}
     if not counted.get(POSITIVE) or not counted.get(UNLABELLED):
         return Model()
-    # every confirmed text, and every text of the training split
-    p = sums(rows.join(F.broadcast(marks.where("label = 1").select("id")), "id", "left_semi"), None)
-    np_all = p[MOMENTS[0]]
-    for x in MOMENTS:
-        del p[x]
-    u = sums(rows, set(p))
+
+    def sums(of: DataFrame, known: set[str] | None) -> DataFrame:
+        return of.select("text").mapInArrow(_sums(known), "fold int, feature string, value double").groupBy("fold", "feature").agg(F.sum("value").alias("value"))
+
+    # every confirmed text, and every text of the training split; confirmed ids that are too many to send go by a shuffle
+    ids = marks.where("label = 1").select("id")
+    by_fold = materialize(sums(rows.join(F.broadcast(ids) if toxic <= SENT else ids, "id", "left_semi"), None))
+    moments = dict(by_fold.where(F.col("feature") == MOMENTS[0]).select("fold", "value").collect())  # one row a fold
+    often = by_fold.where(~F.col("feature").isin(*MOMENTS)).groupBy("feature").agg(F.sum("value").alias("value")).where(F.col("value") >= SUPPORT)
+    often = often.orderBy(F.desc("value"), "feature").limit(MAX_FEATURES).select("feature")
+    p: dict[str, np.ndarray] = {}
+    # at most MAX_FEATURES features, FOLDS rows each
+    for fold, x, v in by_fold.join(often, "feature", "left_semi").select("fold", "feature", "value").collect():
+        p.setdefault(x, np.zeros(FOLDS))[fold] = v
+    of_fold = np.array([moments.get(k, 0.0) for k in range(FOLDS)])
+    u = {x: v for _, x, v in sums(rows, set(p)).collect()}
     nu_all, total, squares = (u.pop(x) for x in MOMENTS)
     mean = total / nu_all
     spread = max(squares / nu_all - mean * mean, 0.0) ** 0.5 or 1.0
-    lift = {x: float(np.log((v + SMOOTH * np_all / nu_all) / np_all / ((u.get(x, 0.0) + SMOOTH) / nu_all))) for x, v in p.items()}
-    vocabulary = sorted(x for x, r in lift.items() if r > LIFT)
-    if not vocabulary:
+
+    def lifts(without: int | None) -> dict[str, float]:
+        """Log lifts over LIFT by confirmed texts, those of one fold left out."""
+        n_p = of_fold.sum() - (0.0 if without is None else of_fold[without])
+        if not n_p:
+            return {}
+        found = ((x, v.sum() - (0.0 if without is None else v[without])) for x, v in p.items())
+        out = {x: float(np.log((v + SMOOTH * n_p / nu_all) / n_p / ((u.get(x, 0.0) + SMOOTH) / nu_all))) for x, v in found if v >= SUPPORT}
+        return {x: r for x, r in out.items() if r > LIFT}
+
+    lift, fold_lifts = lifts(None), [lifts(k) for k in range(FOLDS)]
+    vocabulary = sorted(set(lift).union(*fold_lifts))
+    if not lift:
         return Model()
     got = sample.select("id", "kind", "text").mapInArrow(_sparse({x: i for i, x in enumerate(vocabulary)}), "key long, kind int, fold int, words int, index array<int>, value array<double>").toArrow().sort_by([("kind", "ascending"), ("key", "ascending"), ("words", "ascending")])
     ends = np.append(0, np.cumsum(np.array([len(x) for x in got["index"].to_pylist()], np.int64)))
     index = got["index"].combine_chunks().flatten().to_numpy()
-    scale = np.array([lift[x] for x in vocabulary])
-    value = got["value"].combine_chunks().flatten().to_numpy() * scale[index]
+    raw = got["value"].combine_chunks().flatten().to_numpy()
+    scale = np.array([lift.get(x, 0.0) for x in vocabulary])
     words = np.log1p(got["words"].to_numpy())
     kind = got["kind"].to_numpy()
     dense = np.clip((words - mean) / spread, -REACH, REACH)
 
-    def fit(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def fit(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = at[kind[at] != CLEAN]
         taken = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in at])
         x = index[taken], value[taken], np.append(0, np.cumsum(np.diff(ends)[at]))
@@ -269,21 +293,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     every, fold = np.arange(len(dense)), got["fold"].to_numpy()
     row = np.repeat(every, np.diff(ends))
-    w, (bias, length) = fit(every)
+    w, (bias, length) = fit(every, raw * scale[index])
     z = np.zeros(len(dense))
     for k in range(FOLDS):
         rest = every[fold != k]
-        if (kind[rest] == POSITIVE).any() and (kind[rest] == UNLABELLED).any():
-            wk, (bk, lk) = fit(rest)
+        # features of a fold's fit come from the other folds' labels too
+        value = raw * np.array([fold_lifts[k].get(x, 0.0) for x in vocabulary])[index]
+        if (kind[rest] == POSITIVE).any() and (kind[rest] == UNLABELLED).any() and fold_lifts[k]:
+            wk, (bk, lk) = fit(rest, value)
         else:
-            wk, bk, lk = w, bias, length
+            wk, bk, lk, value = w, bias, length, raw * scale[index]
         z = np.where(fold == k, np.bincount(row, wk[index] * value, len(dense)) + bk + lk * dense, z)
     marked = kind != UNLABELLED
     if (kind == CLEAN).any():
         of_class = {POSITIVE: 0.5 * marked.sum() / counted[POSITIVE], CLEAN: 0.5 * marked.sum() / counted[CLEAN]}
         slope, shift = _calibrate(z[marked], kind[marked] == POSITIVE, np.array([of_class[k] for k in kind[marked]]))
         w, bias, length = w * slope, bias * slope + shift, length * slope
-    return Model(prior, {x: float(a * s) for x, a, s in zip(vocabulary, w, scale, strict=True)}, float(bias), (float(length), mean, spread))
+    return Model(prior, {x: float(a * s) for x, a, s in zip(vocabulary, w, scale, strict=True) if s}, float(bias), (float(length), mean, spread))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
