@@ -331,7 +331,7 @@ def test_near_copies_equal_brute_force_jaccard(spark):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("block", [4096, 8])
+@pytest.mark.parametrize("block", [1024, 8])
 def test_near_copies_of_long_texts_and_in_dealt_buckets_are_found(spark, monkeypatch, block):
     import random
 
