@@ -12,7 +12,7 @@ nor on that of the labels.
 
 Vocabulary sums and the moments of length come from all texts of the training split, confirmed ones and others. The rows of
 the gradient steps and of the calibration are those with the smallest seeded hashes, at most MAX_POSITIVE, MAX_UNLABELLED
-and MAX_CLEAN of each kind, written once to the shared folder; only sums of at most MAX_FEATURES features and the sparse
+and MAX_CLEAN of each kind, written once to the shared folder; only the names of at most MAX_FEATURES features, the lifts of those that count and the sparse
 rows over the chosen vocabulary reach the driver. The risk's unlabelled mean is over MAX_UNLABELLED texts, so that its standard error is
 that of one text over 126. A fold's fit has its vocabulary and lifts from the other folds' confirmed texts, so that calibration sees decisions
 on labels that had no part in them. Scoring is one pass over all whole texts without a shuffle.
@@ -253,34 +253,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     moments = dict(by_fold.where(F.col("feature") == MOMENTS[0]).select("fold", "value").collect())  # one row a fold
     often = by_fold.where(~F.col("feature").isin(*MOMENTS)).groupBy("feature").agg(F.sum("value").alias("value")).where(F.col("value") >= SUPPORT)
     often = often.orderBy(F.desc("value"), "feature").limit(MAX_FEATURES).select("feature")
-    p: dict[str, np.ndarray] = {}
-    # at most MAX_FEATURES features, FOLDS rows each
-    for fold, x, v in by_fold.join(often, "feature", "left_semi").select("fold", "feature", "value").collect():
-        p.setdefault(x, np.zeros(FOLDS))[fold] = v
-    of_fold = np.array([moments.get(k, 0.0) for k in range(FOLDS)])
-    u = {x: v for _, x, v in sums(rows, set(p)).collect()}
-    nu_all, total, squares = (u.pop(x) for x in MOMENTS)
+    per_fold = [F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("value"))), F.lit(0.0)).alias(f"p{k}") for k in range(FOLDS)]
+    p = materialize(by_fold.join(often, "feature", "left_semi").groupBy("feature").agg(*per_fold))
+    of_fold = [moments.get(k, 0.0) for k in range(FOLDS)]
+    # at most MAX_FEATURES names; the sums of all texts meet those of confirmed ones in Spark
+    u = materialize(sums(rows, set(p.select("feature").toArrow()["feature"].to_pylist())).drop("fold"))
+    nu_all, total, squares = (dict(u.where(F.col("feature").isin(*MOMENTS)).collect())[x] for x in MOMENTS)
     mean = total / nu_all
     spread = max(squares / nu_all - mean * mean, 0.0) ** 0.5 or 1.0
 
-    def lifts(without: int | None) -> dict[str, float]:
-        """Log lifts over LIFT by confirmed texts, those of one fold left out."""
-        n_p = of_fold.sum() - (0.0 if without is None else of_fold[without])
+    def lift_of(without: int | None) -> Column:
+        """Log lift by confirmed texts, those of one fold left out; 0 if it isn't over LIFT."""
+        n_p = sum(of_fold) - (0.0 if without is None else of_fold[without])
         if not n_p:
-            return {}
-        found = ((x, v.sum() - (0.0 if without is None else v[without])) for x, v in p.items())
-        out = {x: float(np.log((v + SMOOTH * n_p / nu_all) / n_p / ((u.get(x, 0.0) + SMOOTH) / nu_all))) for x, v in found if v >= SUPPORT}
-        return {x: r for x, r in out.items() if r > LIFT}
-
-    lift, fold_lifts = lifts(None), [lifts(k) for k in range(FOLDS)]
-    vocabulary = sorted(set(lift).union(*fold_lifts))
-    if not lift:
+            return F.lit(0.0)
+        v = sum((F.col(f"p{k}") for k in range(FOLDS)), F.lit(0.0)) - (F.lit(0.0) if without is None else F.col(f"p{without}"))
+        found = F.log((v + SMOOTH * n_p / nu_all) / n_p / ((F.coalesce("value", F.lit(0.0)) + SMOOTH) / nu_all))
+        return F.when((v >= SUPPORT) & (found > LIFT), found).otherwise(0.0)
+
+    lifts = p.join(u, "feature", "left").select("feature", *[lift_of(k).alias(f"lift{i}") for i, k in enumerate([None, *range(FOLDS)])])
+    lifts = lifts.where(" OR ".join(f"lift{i} > 0" for i in range(FOLDS + 1))).toArrow().sort_by("feature")
+    vocabulary = lifts["feature"].to_pylist()
+    scale, *fold_scales = (lifts[f"lift{i}"].to_numpy() for i in range(FOLDS + 1))
+    if not len(scale) or not scale.any():
         return Model()
     got = sample.select("id", "kind", "text").mapInArrow(_sparse({x: i for i, x in enumerate(vocabulary)}), "key long, kind int, fold int, words int, index array<int>, value array<double>").toArrow().sort_by([("kind", "ascending"), ("key", "ascending"), ("words", "ascending")])
     ends = np.append(0, np.cumsum(np.array([len(x) for x in got["index"].to_pylist()], np.int64)))
     index = got["index"].combine_chunks().flatten().to_numpy()
     raw = got["value"].combine_chunks().flatten().to_numpy()
-    scale = np.array([lift.get(x, 0.0) for x in vocabulary])
     words = np.log1p(got["words"].to_numpy())
     kind = got["kind"].to_numpy()
     dense = np.clip((words - mean) / spread, -REACH, REACH)
@@ -298,8 +298,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for k in range(FOLDS):
         rest = every[fold != k]
         # features of a fold's fit come from the other folds' labels too
-        value = raw * np.array([fold_lifts[k].get(x, 0.0) for x in vocabulary])[index]
-        if (kind[rest] == POSITIVE).any() and (kind[rest] == UNLABELLED).any() and fold_lifts[k]:
+        value = raw * fold_scales[k][index]
+        if (kind[rest] == POSITIVE).any() and (kind[rest] == UNLABELLED).any() and fold_scales[k].any():
             wk, (bk, lk) = fit(rest, value)
         else:
             wk, bk, lk, value = w, bias, length, raw * scale[index]
