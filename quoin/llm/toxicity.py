@@ -24,8 +24,9 @@ empty result; a null id is not held out; columns other than id and text are neve
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
-from collections.abc import Container, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from math import log1p
@@ -56,6 +57,8 @@ THRESHOLD = 0.7
 REACH = 1.0
 #: Words whose features are kept at hand in a task.
 CACHED = 300_000
+#: Words of texts that are counted at a time.
+TOGETHER = 1 << 17
 _EDGE = ".,;:!?%$&*#|\"'()[]{}<>-_"
 
 
@@ -83,22 +86,62 @@ def heads(known: Iterable[str]) -> set[str]:
     return {y for x in known for y in (x[:k], x[1 : k + 1])}
 
 
-def known_features(words: list[str], known: Container[str], first: set[str], cache: dict[str, tuple[str, ...]]) -> dict[str, int]:
-    """features() of a text's words, only the known ones; first: their heads; cache: the known features of words seen."""
-    counts = Counter(words)
-    fresh = [x for x in counts if x not in cache]
-    if len(cache) + len(fresh) > CACHED:
-        cache.clear()
-        fresh = list(counts)
-    k = min(PREFIXES)
-    for word in fresh:
+class Counts:
+    """Counts of known features, of many texts at a time: words are looked up one by one, all else is arrays."""
+
+    def __init__(self, known: Iterable[str]) -> None:
+        self.number = {x: i for i, x in enumerate(known)}
+        self.first = heads(self.number)
+        self._forget()
+
+    def _forget(self) -> None:
+        # word 0 stands for all that have no known feature; features of word i are flat[ends[i]:ends[i + 1]]
+        self.words: dict[str, int] = {}
+        self.flat, self.ends = array("q"), array("q", [0, 0])
+
+    def _add(self, word: str) -> int:
         bare = word.strip(_EDGE)
-        cache[word] = tuple(x for x in (bare, *("^" + bare[:k] for k in PREFIXES if len(bare) >= k)) if x in known) if bare[:k] in first else ()
-    found: dict[str, int] = {}
-    for n, of in [x for x in zip(counts.values(), map(cache.get, counts), strict=True) if x[1]]:
-        for x in of:
-            found[x] = found.get(x, 0) + n
-    return found
+        found: list[int] = []
+        if bare[: min(PREFIXES)] in self.first:
+            found = [self.number[x] for x in (bare, *("^" + bare[:k] for k in PREFIXES if len(bare) >= k)) if x in self.number]
+        if found:
+            self.flat.extend(found)
+            self.ends.append(len(self.flat))
+        self.words[word] = at = len(self.ends) - 2 if found else 0
+        return at
+
+    def of_texts(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first text, words of each text, row, feature, count) of groups of texts of about TOGETHER words; features of a row are those of features(), as far as known."""
+        at, n, sizes, tokens = 0, 0, [], []
+        for text in texts:
+            split = (text or "").lower().split()
+            sizes.append(len(split))
+            tokens += split
+            n += 1
+            if len(tokens) >= TOGETHER:
+                yield at, *self._counted(sizes, tokens)
+                at, sizes, tokens = n, [], []
+        if sizes:
+            yield at, *self._counted(sizes, tokens)
+
+    def _counted(self, sizes: list[int], tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.words) > CACHED:
+            self._forget()
+        get, add = self.words.get, self._add
+        for word in {x for x in tokens if x not in self.words}:
+            add(word)
+        size = np.array(sizes, np.int64)
+        word, row = np.fromiter(map(get, tokens), np.int64, len(tokens)), np.repeat(np.arange(len(size)), size)
+        some = word > 0
+        both, n = np.unique(row[some] * len(self.ends) + word[some], return_counts=True)
+        row, word = np.divmod(both, len(self.ends))
+        ends, flat = np.array(self.ends, np.int64), np.array(self.flat, np.int64)
+        times = ends[word + 1] - ends[word]
+        take = np.repeat(ends[word] - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(times.sum())
+        key, place = np.unique(np.repeat(row, times) * max(1, len(self.number)) + flat[take], return_inverse=True)
+        count = np.bincount(place, np.repeat(n, times), len(key))
+        row, feature = np.divmod(key, max(1, len(self.number)))
+        return size, row, feature, count
 
 
 @dataclass
@@ -110,15 +153,15 @@ class Model:
     bias: float = 0.0
     length: tuple[float, float, float] = (0.0, 0.0, 1.0)
 
-    def score(self, texts: list[str | None], cache: dict[str, tuple[str, ...]]) -> np.ndarray:
+    def score(self, texts: list[str | None], counts: Counts | None = None) -> np.ndarray:
+        """counts: of the weights' features, kept from call to call."""
         if not self.weights:
             return np.zeros(len(texts))
-        z, get, first = np.empty(len(texts)), self.weights.get, heads(self.weights)
-        for i, text in enumerate(texts):
-            words = (text or "").lower().split()
-            found = known_features(words, self.weights, first, cache)
-            w, mean, spread = self.length
-            z[i] = self.bias + w * min(max((log1p(len(words)) - mean) / spread, -REACH), REACH) + sum(get(x) * log1p(n) for x, n in found.items())
+        z, counts = np.empty(len(texts)), counts or Counts(self.weights)
+        weight, (w, mean, spread) = np.array([self.weights[x] for x in counts.number]), self.length
+        for at, words, row, feature, count in counts.of_texts(texts):
+            part = np.bincount(row, weight[feature] * np.log1p(count), len(words))
+            z[at : at + len(words)] = self.bias + w * np.clip((np.log1p(words) - mean) / spread, -REACH, REACH) + part
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -183,32 +226,38 @@ def _fold(text: str | None) -> int:
 def _sums(known: set[str] | None):
     """Texts to per-task sums of log(1 + count) by feature, and by MOMENTS: of 1, log(1 + words) and its square. known: which features count; without, all do, by the text's fold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        cache: dict[str, tuple[str, ...]] = {}
-        first = heads(known or ())
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f for f, _ in total], pa.int32()), pa.array([x for _, x in total], pa.string()), pa.array(list(total.values()), pa.float64())], names=["fold", "feature", "value"])
+    def table(fold: int, total: dict[str, float]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([fold] * len(total), pa.int32()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["fold", "feature", "value"])
 
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: list[dict[str, float]] = [{} for _ in range(FOLDS)]
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                fold = _fold(text) if known is None else 0
-                if known is None:
-                    found, words = features(text or "")
-                else:
-                    split = (text or "").lower().split()
-                    found, words = known_features(split, known, first, cache), len(split)
+                fold, (found, words) = _fold(text), features(text or "")
+                total = totals[fold]
                 for x, v in zip(MOMENTS, (1.0, log1p(words), log1p(words) ** 2), strict=True):
-                    total[fold, x] += v
+                    total[x] = total.get(x, 0.0) + v
                 for x, n in found.items():
-                    total[fold, x] += log1p(n)
+                    total[x] = total.get(x, 0.0) + log1p(n)
                 if len(total) > 200_000:
-                    yield out()
+                    yield table(fold, total)
                     total.clear()
-        yield out()
+        for fold, total in enumerate(totals):
+            yield table(fold, total)
 
-    return run
+    def of_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, moments = Counts(known), np.zeros(3)
+        total = np.zeros(len(counts.number))
+        for batch in batches:
+            for _, words, _, feature, count in counts.of_texts(batch.column(0).to_pylist()):
+                logs = np.log1p(words)
+                moments += len(words), logs.sum(), (logs**2).sum()
+                total += np.bincount(feature, np.log1p(count), len(total))
+        some = np.flatnonzero(total)
+        names = list(counts.number)
+        yield table(0, dict(zip(MOMENTS, moments.tolist(), strict=True)) | {names[i]: float(total[i]) for i in some})
+
+    return every if known is None else of_known
 
 
 def _sparse(number: dict[str, int]):
@@ -317,9 +366,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[str, ...]] = {}
+        counts = Counts(model.weights)
         for batch in batches:
-            scores = model.score(batch.column(at).to_pylist(), cache)
+            scores = model.score(batch.column(at).to_pylist(), counts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -29,7 +29,7 @@ def test_stages_equal_brute_force(spark):
     out = materialize(stage["toxicity"](spark, docs, SF))
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.train(docs, labels)
-    keep = [r for r in docs.collect() if model.score([r.text], {})[0] < toxicity.THRESHOLD]
+    keep = [r for r in docs.collect() if model.score([r.text])[0] < toxicity.THRESHOLD]
     assert out.columns == docs.columns and _rows(out) == sorted(map(repr, keep)) and len(keep) < docs.count()
 
     docs = out
