@@ -54,9 +54,8 @@ def asof_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    out = evaluation.running(e, None, ["ts", "event_id"], "value", 100)
-    return out.select("event_id", F.round("running_best", 4).alias("running_best"), F.round("running_mean", 4).alias("running_mean"))
+    e = table(spark, sf_dir, "events").select("event_id", "ts", F.round(F.col("value") * 100).alias("value"))
+    return evaluation.running(e, None, ["ts", "event_id"], "value", 100).select("event_id", "running_best", "running_mean")
 
 
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +101,7 @@ SELECT p.label, CAST(sum(f) AS BIGINT) AS found, CAST(sum(least(n, 10)) AS BIGIN
     "seeded_split_counts": "WITH o AS (SELECT o_orderstatus, ('0x' || substr(md5(concat('13:', o_orderkey)), 1, 8))::BIGINT % 100 AS p FROM orders) SELECT CASE WHEN p < 80 THEN 'train' WHEN p < 90 THEN 'valid' ELSE 'test' END AS part, o_orderstatus, count(*) AS n FROM o GROUP BY ALL",
     "asof_events": "SELECT l.event_id, (SELECT arg_max(r.event_id, (r.ts, r.event_id)) FROM events r WHERE r.event_id % 2 = 1 AND r.user_id = l.user_id AND r.ts <= l.ts) AS asof_source, (SELECT arg_max(r.value, (r.ts, r.event_id)) FROM events r WHERE r.event_id % 2 = 1 AND r.user_id = l.user_id AND r.ts <= l.ts) AS asof_level FROM events l WHERE l.event_id % 2 = 0",
     "asof_all_events": "WITH p AS (SELECT ts, arg_max(event_id, event_id) AS i, arg_max(value, event_id) AS v FROM events WHERE event_type = 'purchase' GROUP BY ts) SELECT e.event_id, p.i AS asof_source, p.v AS asof_level FROM events e ASOF LEFT JOIN p ON e.ts >= p.ts",
-    "running_all_events": "SELECT event_id, round(max(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS running_best, round(avg(value) OVER (ORDER BY ts, event_id ROWS 99 PRECEDING), 4) AS running_mean FROM events",
+    "running_all_events": "WITH e AS (SELECT event_id, ts, round(value * 100) AS value FROM events) SELECT event_id, max(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running_best, sum(value) OVER w / count(value) OVER w AS running_mean FROM e WINDOW w AS (ORDER BY ts, event_id ROWS 99 PRECEDING)",
     "page_ranges": "SELECT i AS range_id, count(*) AS n FROM lineitem JOIN range(10) t(i) ON l_quantity >= i * 5.0 + 1 AND l_quantity < i * 5.0 + 8 GROUP BY i",
     "half_open_filter": "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_returnflag <> 'R' GROUP BY l_returnflag",
     "part_co_occurrence": "WITH d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n FROM d x JOIN d y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY ALL HAVING count(*) > 1",
