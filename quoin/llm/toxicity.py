@@ -56,9 +56,9 @@ THRESHOLD = 0.7
 #: Spreads from the mean at which a length counts as no shorter or longer: a text is not toxic for being short.
 REACH = 1.0
 #: Words whose features are kept at hand in a task.
-CACHED = 300_000
+CACHED = 150_000
 #: Words of texts that are counted at a time.
-TOGETHER = 1 << 17
+TOGETHER = 1 << 16
 _EDGE = ".,;:!?%$&*#|\"'()[]{}<>-_"
 
 
@@ -110,7 +110,7 @@ class Counts:
         self.words[word] = at = len(self.ends) - 2 if found else 0
         return at
 
-    def of_texts(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def of_texts(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(first text, words of each text, row, feature, count) of groups of texts of about TOGETHER words; features of a row are those of features(), as far as known."""
         at, n, sizes, tokens = 0, 0, [], []
         for text in texts:
@@ -249,7 +249,7 @@ def _sums(known: set[str] | None):
         counts, moments = Counts(known), np.zeros(3)
         total = np.zeros(len(counts.number))
         for batch in batches:
-            for _, words, _, feature, count in counts.of_texts(batch.column(0).to_pylist()):
+            for _, words, _, feature, count in counts.of_texts(x.as_py() for x in batch.column(0)):
                 logs = np.log1p(words)
                 moments += len(words), logs.sum(), (logs**2).sum()
                 total += np.bincount(feature, np.log1p(count), len(total))
