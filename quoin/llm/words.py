@@ -43,13 +43,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts together hold about PIECE bytes."""
+def pieces(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts together hold about so many bytes."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         yield first, min(last, len(column))
         first = min(last, len(column))
 
