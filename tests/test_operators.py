@@ -444,3 +444,31 @@ def test_first_events_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("k int, t timestamp").parquet(str(tmp_path / "in"))
     manifests.first_seen(stream, "k", "t", "1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_pairs_of_large_groups_and_busy_items_are_counted_where_they_arrive(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [("all", i) for i in range(150)] + [(f"g{g}", i) for g in range(80) for i in {0, *(r.randrange(150) for _ in range(4))}] + [(None, 3), (None, 4), ("g1", None)]
+    groups = {}
+    for g, i in rows:
+        if g is not None and i is not None:
+            groups.setdefault(g, set()).add(i)
+    want = {}
+    for items in groups.values():
+        for a in items:
+            for b in items:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame(rows + rows[:20], "g string, i long")
+    monkeypatch.setattr(joins, "CHUNK", 40)
+    for most in (1 << 21, 500):
+        monkeypatch.setattr(joins, "PAIRS", most)
+        got = joins.co_occurrence(df, "g", "i")
+        assert {(x.a, x.b): x.n for x in got.collect()} == want and got.count() == len(want)
+        cells = {(x.a, x.b): x.n for x in joins.lower_triangle(df, "g", "i").collect()}
+        assert len(cells) == 150 * 151 // 2 and all(n == (want.get((b, a), 0) if a != b else sum(a in s for s in groups.values())) for (a, b), n in cells.items())
+    # pairs grow in the last stage only, over as many tasks as their number asks for, and are not shuffled
+    pairs, keys = joins.dealt_pairs(df.where("g IS NOT NULL").distinct(), "g", "i")
+    assert "__deal" in keys and pairs.rdd.getNumPartitions() >= (150 * 149 // 2) // 500
+    plan = pairs.groupBy(*keys).count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(__others") < plan.index("Exchange hashpartitioning(a")
