@@ -5,6 +5,7 @@ import random
 import tarfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -472,3 +473,45 @@ def test_pairs_of_large_groups_and_busy_items_are_counted_where_they_arrive(spar
     assert "__deal" in keys and pairs.rdd.getNumPartitions() >= (150 * 149 // 2) // 500
     plan = pairs.groupBy(*keys).count()._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode(__others") < plan.index("Exchange hashpartitioning(a")
+
+
+def test_tiles_keep_few_pairs_and_read_blobs_in_place(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "ROWS", 16)
+    added = []
+    plain = tiles._Best.add
+    monkeypatch.setattr(tiles._Best, "add", lambda self, row, key, sim: (added.append(len(row)), plain(self, row, key, sim)))
+    v = np.random.default_rng(3).normal(size=(1600, 6)).round(1)
+    blocks = [(0, 16, 6, np.arange(16).tobytes(), v[:16].tobytes(), b"", len(p), 6, np.arange(lo, lo + 16).tobytes(), p.tobytes(), b"") for lo in range(0, 1600, 16) for p in [v[lo : lo + 16]]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*blocks, strict=True)], names=[f"c{i}" for i in range(11)])
+    got = pa.Table.from_batches(list(tiles._nearest(4, "cosine", None, False, 0)(iter([batch])))).to_pylist()
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    for i in range(16):
+        sim = np.round(u[i] @ u.T, 9)
+        want = sorted((-s, j) for j, s in enumerate(sim.tolist()) if j != i)[:4]
+        assert [j for _, j in sorted((-x["sim"], x["id"]) for x in got if x["query_id"] == i)] == [j for _, j in want]
+    # a hundred blocks of 16 x 4 pairs at least would come without a floor
+    assert sum(added) < 0.5 * 100 * 16 * 4
+
+
+def test_reranking_scores_the_first_pairs_only(spark):
+    from quoin.plans import scoring
+
+    r = np.random.default_rng(4)
+    e = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    first = retrieval.knn(e.where("vec_id < 6"), e, 7)
+    again = retrieval.scored_again(first, e, e, "l2")
+    assert again.count() == 42 and "1073741824" not in scoring.reranked.__code__.co_consts.__repr__()
+    v = {x.vec_id: np.array(x.embedding) for x in e.collect()}
+    assert all(x.sim == pytest.approx(-((v[x.query_id] - v[x.id]) ** 2).sum(), abs=1e-8) for x in again.collect())
+
+
+def test_a_search_of_cells_ranks_k_rows_of_each(spark, monkeypatch):
+    asked = []
+    plain = retrieval.candidates
+    monkeypatch.setattr(retrieval, "candidates", lambda q, i, k, **kw: (asked.append(k), plain(q, i, k, **kw))[1])
+    r = np.random.default_rng(6)
+    e = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    centre = retrieval.fit_centroids(e, 8)
+    got = retrieval.knn_cells(e.where("vec_id < 20"), retrieval.build_cells(e, centre, 3), centre, 5, 8)
+    want = retrieval.knn(e.where("vec_id < 20"), e, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and asked == [5]
