@@ -534,3 +534,14 @@ def test_patterns_meet_by_two_literals_and_copies_are_counted_not_made(spark, mo
     assert sorted(map(tuple, patterns.pattern_table_counts(df, "k", "v", table).collect())) == want
     values, kinds = {v for _, v in rows if v is not None}, {p for _, p in listed if p is not None}
     assert made[0].count() <= len(values) * len(kinds) < each.count()
+
+
+def test_steps_of_eigenvalues_leave_no_vectors_behind(spark, monkeypatch):
+    names, gone = [], []
+    plain, drop = spectral.written, spectral.discard
+    monkeypatch.setattr(spectral, "written", lambda df, name: (names.append(name), plain(df, name))[1])
+    monkeypatch.setattr(spectral, "discard", lambda df: (gone.append(len(df.inputFiles())), drop(df)))
+    edges = [(i, i + 1, 1.0) for i in range(60)]
+    got = spectral.smallest_eigenvalues(spark.createDataFrame(edges, "a long, b long, weight double"), 3, block=4)
+    assert got == pytest.approx([1 - np.cos(np.pi * i / 60) for i in range(3)], abs=1e-8)
+    assert len(names) > 4 and len(gone) == len(names) and all(gone)
