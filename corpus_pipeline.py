@@ -1,7 +1,7 @@
 """The corpus pipeline: documents to a mix of sources, each stage written as Parquet and read again by the next.
 
 Stages, in this order: toxicity (documents scored at or above its threshold go), line dedup, near-dedup (of each group of
-documents linked by five-word Jaccard similarity of 0.8 or more, that with the smallest id stays), benchmark decontamination, mixing sources to target weights.
+documents linked by five-word Jaccard similarity of 0.8 or more, that with the smallest id stays; pairs come from SimHash fingerprints and min-hashes), benchmark decontamination, mixing sources to target weights.
 
 Defined results: every stage takes nulls, empty texts and empty tables as its operator does. A null text is not toxic, has no
 lines to lose, is a copy of other empty texts and holds no benchmark item. Of each group of near copies one row stays, that

@@ -1,13 +1,15 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, for the pipeline.
+"""Near-duplicates by SimHash fingerprints and exact Jaccard similarity of word shingles, for the pipeline.
 
 Texts link if the sets of their shingles (A-Z lower-cased, `shingle` words each) have Jaccard similarity `least` or more; shingles
-are compared by 64-bit hashes. Which pairs to compare: min-hashes in BANDS bands of ROWS. A pair at 0.8 shares no band with a
-probability of (1 - 0.8**4)**32 = 5e-8, a closer pair with a smaller one. SimHash can't take this place at 0.8: the pairs
-differ in about 10 of 64 bits, 16 and more at times, where blocks of bits that all such pairs agree on hold 4 bits, so that
-nearly all pairs of texts would meet.
+are compared by 64-bit hashes. Which pairs to compare: first those whose SimHash fingerprints, of the sets, differ in few bits, which
+meet in blocks of bits and are told apart by pivot distances (simhash_dedup.links). Those are the pairs of about 0.95 and more. SimHash
+can't reach down to 0.8 alone: the pairs differ in about 10 of 64 bits, 16 and more at times, where blocks of bits that all such
+pairs agree on hold 4 bits, so that nearly all pairs of texts would meet. So min-hashes in BANDS bands of ROWS give the pairs that
+are not linked by a path of close fingerprints. A pair at 0.8 shares no band with a probability of (1 - 0.8**4)**32 = 5e-8, a
+closer pair with a smaller one.
 
 Equal sets meet first and are one node from there on. In band buckets of more than SMALL nodes, the nodes that most such buckets
-hold, usually the text that others are copies of, are verified against all others first. After that every bucket gives all its
+hold, usually the text that others are copies of, are verified against all others first, with the pairs of close fingerprints. After that every bucket gives all its
 pairs whose sizes allow the similarity and that are not linked by a path yet. So a large group of copies gives a few pairs a
 copy, and no pair goes unseen. Buckets of more than BLOCK nodes are dealt to blocks, and each pair of blocks is a task's work.
 
@@ -31,10 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import join_to_groups, materialize, shuffle_partitions
 from .components import components
+from .simhash_dedup import links as close_fingerprints, simhash
 from .words import hash_spans, mix64, pieces, window_hashes, word_spans
 
 SHINGLE, LEAST = 5, 0.8
@@ -118,7 +121,9 @@ def _prints(n: int):
                 if some:
                     for i, k in zip(some, _bands([sets[i] for i in some]), strict=True):
                         keys[i], sketches[i] = k, _sketch(sets[i])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([_digest(x) for x in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "row", "digest", "n", "bands", "sketch"])
+                count = np.fromiter(map(len, sets), np.int64, len(sets))
+                fp = simhash(np.concatenate(sets), count)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([_digest(x) for x in sets], pa.binary()), pa.array(count), pa.array(fp), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "row", "digest", "n", "fp", "bands", "sketch"])
 
     return run
 
@@ -133,15 +138,10 @@ def _shingles(n: int):
     return run
 
 
-def _verified(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            same = np.fromiter((len(np.intersect1d(x[i].values.to_numpy(), y[i].values.to_numpy(), assume_unique=True)) for i in range(len(batch))), np.int64, len(batch))
-            size = np.fromiter((len(x[i]) + len(y[i]) for i in range(len(batch))), np.int64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(same >= least * (size - same) - 1e-9))
-
-    return run
+def _similar(x: str, y: str, least: float) -> Column:
+    """Whether two arrays of distinct shingles are similar."""
+    same = F.size(F.array_intersect(x, y))
+    return same >= F.lit(least) * (F.size(x) + F.size(y) - same) - F.lit(1e-9)
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,13 +247,21 @@ def _hub_tiles(rows: DataFrame) -> DataFrame:
     return hubs.unionByName(others).select(F.xxhash64("key", "block").alias("tile"), "node", "left", "right")
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """nodes (node, n, fp) to pairs (u, v) that connect all nodes of fingerprints that are equal or close; sets without a shingle have none."""
+    some = nodes.where("n > 0").select("node", "fp")
+    distinct = materialize(some.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("m")))
+    equal = join_to_groups(some, distinct, "fp", "m").where("node > rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    return equal.unionByName(close_fingerprints(distinct.select("fp", "rep")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, component_id (the smallest id that links lead to), group (a number of the component), row (row_col's value, if named)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(row_col) if row_col else F.lit(None).cast("string")).alias("row"))
     longs, blob = T.LongType(), T.BinaryType()
-    schema = T.StructType([T.StructField(c, t) for c, t in (("doc_id", longs), ("row", rows.schema["row"].dataType), ("digest", blob), ("n", longs), ("bands", T.ArrayType(longs)), ("sketch", blob))])
+    schema = T.StructType([T.StructField(c, t) for c, t in (("doc_id", longs), ("row", rows.schema["row"].dataType), ("digest", blob), ("n", longs), ("fp", longs), ("bands", T.ArrayType(longs)), ("sketch", blob))])
     prints = materialize(rows.mapInArrow(_prints(shingle), schema))
-    distinct = prints.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    distinct = prints.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
     parts = max(1, shuffle_partitions(docs.sparkSession))
 
@@ -269,19 +277,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAS
         sets = texts.mapInArrow(_shingles(shingle), "digest binary, shingles array<long>").join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
         sets = materialize(sets)
         both = found.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
-        return materialize(both.select("u", "v", "x", "y").mapInArrow(_verified(least), "u long, v long"))
+        return materialize(both.where(_similar("x", "y", least)).select("u", "v"))
 
     keys = nodes.select(F.explode("bands").alias("key"), "node")
     buckets = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     shared = materialize(join_to_groups(keys, buckets, "key", "m").select("key", "node", "m"))
     large = shared.where(F.col("m") > SMALL)
-    hubs, dealt = None, _tiles(shared).withColumn("part", F.col("node"))
+    first = _simhash_pairs(nodes)
     if not large.isEmpty():
-        hubs = links(pairs(_hub_tiles(large).withColumn("part", F.col("node"))))
-        part = components(hubs).select("node", F.col("component").alias("hub"))
-        dealt = dealt.join(part, "node", "left").withColumn("part", F.coalesce("hub", "node"))
-    linked = links(pairs(dealt))
-    linked = linked if hubs is None else linked.unionByName(hubs)
+        first = first.unionByName(pairs(_hub_tiles(large).withColumn("part", F.col("node"))))
+    linked = links(first)
+    part = components(linked).select("node", F.col("component").alias("hub"))
+    dealt = _tiles(shared).join(part, "node", "left").withColumn("part", F.coalesce("hub", "node"))
+    linked = linked.unionByName(links(pairs(dealt)))
     named = nodes.join(components(linked), "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("group"))
     least_id = named.groupBy("group").agg(F.min("rep").alias("component_id"))
     named = named.join(least_id, "group").select("digest", "component_id", "group")

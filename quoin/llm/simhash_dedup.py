@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import join_to_groups, materialize, table
+from .common import join_to_groups, materialize, shuffle_partitions, table
 from .components import components
 from .words import pieces
 
@@ -53,6 +53,20 @@ def _hashes(text: str, n: int) -> list[int]:
     return [h(joined[a:b], 42) for a, b in zip((end - size).tolist(), end[n - 1 :].tolist(), strict=False)]
 
 
+def simhash(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text: h has the hashes of all texts' shingles, count how many each text has."""
+    fp, some = np.zeros(len(count), np.uint64), np.flatnonzero(count)
+    edges = np.append(0, np.cumsum(count[some]))
+    lo = 0
+    while lo < len(some):  # about 2**17 shingles at a time, or one text
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + (1 << 17), "right")) - 1)
+        bits = np.unpackbits(h[edges[lo] : edges[hi]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, edges[lo:hi] - edges[lo], axis=0, dtype=np.int64)
+        fp[some[lo:hi]] = np.packbits(2 * ones > count[some[lo:hi], None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
+        lo = hi
+    return fp.view(np.int64)
+
+
 def fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,16 +76,7 @@ def fingerprints(n: int):
                 count = np.fromiter(map(len, each), np.int64, len(each))
                 h = np.fromiter((x for xs in each for x in xs), np.uint64, int(count.sum()))
                 del each
-                fp, some = np.zeros(len(count), np.uint64), np.flatnonzero(count)
-                edges = np.append(0, np.cumsum(count[some]))
-                lo = 0
-                while lo < len(some):  # about 2**17 shingles at a time, or one text
-                    hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + (1 << 17), "right")) - 1)
-                    bits = np.unpackbits(h[edges[lo] : edges[hi]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones = np.add.reduceat(bits, edges[lo:hi] - edges[lo], axis=0, dtype=np.int64)
-                    fp[some[lo:hi]] = np.packbits(2 * ones > count[some[lo:hi], None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
-                    lo = hi
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(simhash(h, count))], names=["doc_id", "fp"])
 
     return run
 
@@ -188,18 +193,21 @@ def _edges(pivots: list[int], distance: int):
     return lambda batches: run(unsigned(batches))
 
 
+def links(distinct: DataFrame, distance: int = DISTANCE, pivots: int = PIVOTS) -> DataFrame:
+    """distinct: fp, rep (a number of it), one row a fingerprint, written already. Pairs (u, v) of numbers that connect all fingerprints within the distance; a pair may come twice."""
+    chosen = [x.fp % (1 << 64) for x in distinct.orderBy(F.xxhash64("fp"), "fp").limit(pivots).collect()]
+    masks = _masks(_blocks(distinct.count(), distance), distance)
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)])
+    dealt = distinct.select(F.explode(keys).alias("key"), "fp", "rep")
+    return dealt.repartition(shuffle_partitions(distinct.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_edges(chosen, distance), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, pivots: int = PIVOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest id that links lead to)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = materialize(rows.mapInArrow(fingerprints(shingle), "doc_id long, fp long"))
     distinct = materialize(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("rep"), F.count("*").alias("copies")))
-    chosen = [x.fp % (1 << 64) for x in distinct.orderBy(F.xxhash64("fp"), "fp").limit(pivots).collect()]
-    masks = _masks(_blocks(distinct.count(), distance), distance)
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)])
-    dealt = distinct.select(F.explode(keys).alias("key"), "fp", "rep")
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    links = dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_edges(chosen, distance), "u long, v long")
-    found = components(links.distinct())
+    found = components(links(distinct, distance, pivots).distinct())
     named = materialize(distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id")))
     out = join_to_groups(prints, named, "fp", "copies")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("component_id") != _LAST, F.col("component_id")).alias("component_id"))

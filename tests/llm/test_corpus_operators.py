@@ -356,6 +356,38 @@ def test_near_copies_of_long_texts_and_in_dealt_buckets_are_found(spark, monkeyp
     assert sum(got[i] == got[i + 1] for i in range(0, len(rows), 2)) == linked > 60
 
 
+def test_near_copies_are_found_by_their_fingerprints(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from quoin.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "_bands", lambda sets: np.zeros((len(sets), 0), np.int64))  # no bucket of min-hashes
+    r = random.Random(3)
+    base = [[str(r.randrange(10**6)) for _ in range(2000)] for _ in range(6)]
+    texts = [" ".join(w) for w in base] + [" ".join(w[:k] + ["x"] + w[k + 1 :]) for w in base for k in (0, 900)] + ["", "  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(df).collect()}
+    assert got == {i: i if i < 6 else (i - 6) // 2 if i < 18 else 18 for i in range(20)}
+
+
+def test_pairs_of_close_fingerprints_connect_all_and_are_verified(spark):
+    from quoin.llm import near_dedup
+
+    prints = [0, 0, 0b1111, 0b11110000, 0b11111111, 1 << 62, (1 << 62) + (31 << 40), 3 << 20, 3 << 20]
+    nodes = spark.createDataFrame([(i, 0 if i == 7 else 5, x) for i, x in enumerate(prints)], "node long, n long, fp long")
+    found = {(x.u, x.v) for x in near_dedup._simhash_pairs(nodes).collect()}
+    assert all(u > v and (prints[u] ^ prints[v]).bit_count() <= 4 for u, v in found) and not any(7 in x for x in found)
+    part = {i: i for i in range(9)}
+    for _ in prints:
+        for u, v in found:
+            part[u] = part[v] = min(part[u], part[v])
+    assert part == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 6, 7: 7, 8: 0}
+    rows = spark.createDataFrame([([1, 2, 3, 4], [1, 2, 3, 4, 5]), ([1, 2, 3], [1, 2, 3, 4]), ([], [1])], "x array<long>, y array<long>")
+    assert [x[0] for x in rows.select(near_dedup._similar("x", "y", 0.8)).collect()] == [True, False, False]
+
+
 def test_pipeline_stage_drops_near_copies_at_0_8(spark):
     import corpus_pipeline
 
