@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import join_to_groups, materialize, shuffle_partitions
+from .common import join_to_groups, materialize, shuffle_partitions, tidy
 from .components import components
 from .simhash_dedup import links as close_fingerprints, simhash
 from .words import hash_spans, mix64, pieces, window_hashes, word_spans
@@ -125,7 +125,7 @@ def _prints(n: int):
                 fp = simhash(np.concatenate(sets), count)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([_digest(x) for x in sets], pa.binary()), pa.array(count), pa.array(fp), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "row", "digest", "n", "fp", "bands", "sketch"])
 
-    return run
+    return tidy(run)
 
 
 def _shingles(n: int):
@@ -135,7 +135,7 @@ def _shingles(n: int):
                 sets = _sets(texts, n)
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["digest", "shingles"])
 
-    return run
+    return tidy(run)
 
 
 def _similar(x: str, y: str, least: float) -> Column:
@@ -225,7 +225,7 @@ def _pairs(least: float):
         uv = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], names=["u", "v"])
 
-    return lambda batches: _by_key(batches, done)
+    return tidy(lambda batches: _by_key(batches, done))
 
 
 def _tiles(rows: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import join_to_groups, materialize, shuffle_partitions, table
+from .common import join_to_groups, materialize, shuffle_partitions, table, tidy
 from .components import components
 from .words import pieces
 
@@ -78,7 +78,7 @@ def fingerprints(n: int):
                 del each
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(simhash(h, count))], names=["doc_id", "fp"])
 
-    return run
+    return tidy(run)
 
 
 def _cuts(blocks: int) -> list[int]:
@@ -190,7 +190,7 @@ def _edges(pivots: list[int], distance: int):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(b.column(1).to_numpy().view(np.uint64)), b.column(2)], names=["key", "fp", "rep"])
 
-    return lambda batches: run(unsigned(batches))
+    return tidy(lambda batches: run(unsigned(batches)))
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, pivots: int = PIVOTS) -> DataFrame:

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import materialize, table
+from .common import materialize, table, tidy
 
 MAX_POSITIVE = 8000
 MAX_UNLABELLED = 16000
@@ -67,6 +67,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _one_by_one(column: pa.Array) -> Iterator:
+    """A column's values as Python's, never all at once: a batch's texts take several times their bytes as str."""
+    return (x.as_py() for x in column)
+
+
 def features(text: str) -> tuple[dict[str, int], int]:
     words = text.lower().split()
     out: Counter = Counter()
@@ -110,19 +115,18 @@ class Counts:
         self.words[word] = at = len(self.ends) - 2 if found else 0
         return at
 
-    def of_texts(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first text, words of each text, row, feature, count) of groups of texts of about TOGETHER words; features of a row are those of features(), as far as known."""
-        at, n, sizes, tokens = 0, 0, [], []
+    def of_texts(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(words of each text, row, feature, count) of groups of texts of about TOGETHER words; features of a row are those of features(), as far as known."""
+        sizes, tokens = [], []
         for text in texts:
             split = (text or "").lower().split()
             sizes.append(len(split))
             tokens += split
-            n += 1
             if len(tokens) >= TOGETHER:
-                yield at, *self._counted(sizes, tokens)
-                at, sizes, tokens = n, [], []
+                yield self._counted(sizes, tokens)
+                sizes, tokens = [], []
         if sizes:
-            yield at, *self._counted(sizes, tokens)
+            yield self._counted(sizes, tokens)
 
     def _counted(self, sizes: list[int], tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if len(self.words) > CACHED:
@@ -153,16 +157,18 @@ class Model:
     bias: float = 0.0
     length: tuple[float, float, float] = (0.0, 0.0, 1.0)
 
-    def score(self, texts: list[str | None], counts: Counts | None = None) -> np.ndarray:
-        """counts: of the weights' features, kept from call to call."""
+    def scores(self, texts: Iterable[str | None], counts: Counts) -> Iterator[np.ndarray]:
+        """Scores of groups of texts, which are taken one by one, so that few are at hand. counts: of the weights' features."""
         if not self.weights:
-            return np.zeros(len(texts))
-        z, counts = np.empty(len(texts)), counts or Counts(self.weights)
+            yield np.zeros(sum(1 for _ in texts))
+            return
         weight, (w, mean, spread) = np.array([self.weights[x] for x in counts.number]), self.length
-        for at, words, row, feature, count in counts.of_texts(texts):
-            part = np.bincount(row, weight[feature] * np.log1p(count), len(words))
-            z[at : at + len(words)] = self.bias + w * np.clip((np.log1p(words) - mean) / spread, -REACH, REACH) + part
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        for words, row, feature, count in counts.of_texts(texts):
+            z = self.bias + w * np.clip((np.log1p(words) - mean) / spread, -REACH, REACH) + np.bincount(row, weight[feature] * np.log1p(count), len(words))
+            yield 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def score(self, texts: Iterable[str | None]) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *self.scores(texts, Counts(self.weights))])
 
 
 def fit_nnpu(x: tuple[np.ndarray, np.ndarray, np.ndarray], dense: np.ndarray, positive: np.ndarray, n: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +229,7 @@ def _fold(text: str | None) -> int:
     return crc32((text or "").encode()) % FOLDS
 
 
-def _sums(known: set[str] | None):
+def _sums(known: list[str] | None):
     """Texts to per-task sums of log(1 + count) by feature, and by MOMENTS: of 1, log(1 + words) and its square. known: which features count; without, all do, by the text's fold."""
 
     def table(fold: int, total: dict[str, float]) -> pa.RecordBatch:
@@ -232,7 +238,7 @@ def _sums(known: set[str] | None):
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: list[dict[str, float]] = [{} for _ in range(FOLDS)]
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in _one_by_one(batch.column(0)):
                 fold, (found, words) = _fold(text), features(text or "")
                 total = totals[fold]
                 for x, v in zip(MOMENTS, (1.0, log1p(words), log1p(words) ** 2), strict=True):
@@ -246,31 +252,31 @@ def _sums(known: set[str] | None):
             yield table(fold, total)
 
     def of_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, moments = Counts(known), np.zeros(3)
+        counts, moments = Counts(names.split("\n") if names else []), np.zeros(3)
         total = np.zeros(len(counts.number))
         for batch in batches:
-            for _, words, _, feature, count in counts.of_texts(x.as_py() for x in batch.column(0)):
+            for words, _, feature, count in counts.of_texts(_one_by_one(batch.column(0))):
                 logs = np.log1p(words)
                 moments += len(words), logs.sum(), (logs**2).sum()
                 total += np.bincount(feature, np.log1p(count), len(total))
-        some = np.flatnonzero(total)
-        names = list(counts.number)
-        yield table(0, dict(zip(MOMENTS, moments.tolist(), strict=True)) | {names[i]: float(total[i]) for i in some})
+        found = {x: n for x, n in zip(counts.number, total.tolist(), strict=True) if n}
+        yield table(0, dict(zip(MOMENTS, moments.tolist(), strict=True)) | found)
 
-    return every if known is None else of_known
+    names = "\n".join(known or [])  # one string, which a task takes apart once; features hold no space
+    return tidy(every if known is None else of_known)
 
 
 def _sparse(number: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, kind, text in zip(*map(_one_by_one, batch.columns), strict=True):
                 found, n = features(text or "")
                 kept = [(number[x], log1p(k)) for x, k in found.items() if x in number]
                 rows.append({"key": key, "kind": kind, "fold": _fold(text), "words": n, "index": [i for i, _ in kept], "value": [v for _, v in kept]})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("fold", pa.int32()), ("words", pa.int32()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]))
 
-    return run
+    return tidy(run)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -293,7 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not counted.get(POSITIVE) or not counted.get(UNLABELLED):
         return Model()
 
-    def sums(of: DataFrame, known: set[str] | None) -> DataFrame:
+    def sums(of: DataFrame, known: list[str] | None) -> DataFrame:
         return of.select("text").mapInArrow(_sums(known), "fold int, feature string, value double").groupBy("fold", "feature").agg(F.sum("value").alias("value"))
 
     # every confirmed text, and every text of the training split; confirmed ids that are too many to send go by a shuffle
@@ -306,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     p = materialize(by_fold.join(often, "feature", "left_semi").groupBy("feature").agg(*per_fold))
     of_fold = [moments.get(k, 0.0) for k in range(FOLDS)]
     # at most MAX_FEATURES names; the sums of all texts meet those of confirmed ones in Spark
-    u = materialize(sums(rows, set(p.select("feature").toArrow()["feature"].to_pylist())).drop("fold"))
+    u = materialize(sums(rows, p.select("feature").toArrow()["feature"].to_pylist()).drop("fold"))
     nu_all, total, squares = (dict(u.where(F.col("feature").isin(*MOMENTS)).collect())[x] for x in MOMENTS)
     mean = total / nu_all
     spread = max(squares / nu_all - mean * mean, 0.0) ** 0.5 or 1.0
@@ -368,10 +374,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(model.weights)
         for batch in batches:
-            scores = model.score(batch.column(at).to_pylist(), counts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, out])
+            first = 0
+            for scores in model.scores(_one_by_one(batch.column(at)), counts):
+                part = batch.slice(first, len(scores))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*batch.schema.names, out])
+                first += len(scores)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

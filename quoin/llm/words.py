@@ -24,7 +24,7 @@ _powers: list[np.ndarray] = []
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, PIECE + 1)
+        size = max(n, 1 << 16, len(_powers[0]) * 5 // 4 if _powers else 0)
         inverse = pow(_BASE, -1, 1 << 64)
         _powers[:] = []
         for base in (_BASE, inverse):

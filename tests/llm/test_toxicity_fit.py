@@ -109,3 +109,31 @@ def test_confirmed_ids_go_by_a_shuffle_where_they_are_many(spark, monkeypatch):
     sent = t.train(docs, labels)
     monkeypatch.setattr(t, "SENT", 0)
     assert t.train(docs, labels) == sent and sent.weights
+
+
+def test_scores_come_in_groups_and_names_in_one_string():
+    import pyarrow as pa
+
+    from quoin.llm.common import tidy
+
+    texts = [None, "", *(f"bad w{i} " * (i % 90) for i in range(3000))]
+    model = t.Model(0.1, {"bad": 1.0, "^w120": -0.5}, -1.0, (0.3, 4.0, 1.0))
+    groups = list(model.scores(iter(texts), t.Counts(model.weights)))
+    assert len(groups) > 2 and np.array_equal(np.concatenate(groups), model.score(texts)) and np.allclose(model.score(texts), [model.score([x])[0] for x in texts])
+    assert t.Model().score(texts).tolist() == [0.0] * len(texts) and model.score([]).tolist() == []
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    for known in ([], ["bad", "^w120"]):
+        got = {k: v for b in t._sums(known)(iter([batch])) for k, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)}
+        assert set(got) == {*t.MOMENTS, *known} and got[" texts"] == len(texts)
+    kept = []
+
+    def run(batches):
+        held = [bytes(2000) for _ in range(50_000)]
+        kept.append(bytes(2000))  # above them in the heap, which so can't shrink by itself
+        yield len(held)
+
+    def size():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    before = size()
+    assert list(tidy(run)(iter(()))) == [50_000] and size() - before < 30_000_000
