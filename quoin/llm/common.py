@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 import weakref
@@ -11,7 +12,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: The white space that separates words, as a regex class body: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
@@ -86,6 +87,22 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return whole
 
 
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 1 << 21
+
+
+def map_texts(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow of a tidy run, whose batches end after BATCH_BYTES or one row: by Spark's defaults a batch holds 10,000 texts of up to 64 MB, of which JVM and worker each keep some copies.
+
+    Spark looks at this setting when the result is run, so it stays on the session; a smaller one is kept.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    n, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", conf.get(name).strip().lower()).groups()
+    if int(n) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(tidy(run), schema)
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -25,13 +25,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import table
+from .common import map_texts, table
 from .words import hash_spans, pieces, window_hashes, word_spans
 
 SEED = 5
 THRESHOLD = 0.8
 #: Characters of test items that are sent to the executors at a time.
 BLOCK_CHARS = 1 << 24
+#: Bytes of documents that are hashed at a time.
+PIECE = 1 << 18
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[b for b in range(128) if not chr(b).isalnum()]] = True
@@ -137,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, thresh
     out = None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for block in _blocks(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"))):
-        found = rows.mapInArrow(_pairs(Items(block, seed, threshold)), "doc_id long, item_id long, coverage double, tiles array<struct<doc_start:int,item_start:int,n:int>>")
+        found = map_texts(rows, _pairs(Items(block, seed, threshold)), "doc_id long, item_id long, coverage double, tiles array<struct<doc_start:int,item_start:int,n:int>>")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -149,7 +151,7 @@ def _pairs(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column(0), []
-            for a, b in pieces(batch.column(1)):
+            for a, b in pieces(batch.column(1), PIECE):
                 for r, item, coverage, tiles in items.match(batch.column(1).slice(a, b - a)):
                     rows.append((ids[a + r].as_py(), items.ids[item], coverage, [dict(zip(("doc_start", "item_start", "n"), t, strict=True)) for t in tiles]))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(fields)], schema=fields)
@@ -167,12 +169,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, thres
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(len(batch), bool)
-                for a, b in pieces(batch.column(at)):
+                for a, b in pieces(batch.column(at), PIECE):
                     for found in items.match(batch.column(at).slice(a, b - a)):
                         keep[a + found[0]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, fields)
+        docs = map_texts(docs, run, fields)
     return docs
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import join_to_groups, materialize, shuffle_partitions, tidy
+from .common import join_to_groups, map_texts, materialize, shuffle_partitions
 from .components import components
 from .simhash_dedup import links as close_fingerprints, simhash
 from .words import hash_spans, mix64, pieces, window_hashes, word_spans
@@ -45,7 +45,7 @@ BANDS, ROWS = 32, 4
 #: Sets of up to so many shingles go along whole, as 16 bits of each hash; of larger ones a half, a quarter and so on.
 SKETCH, DEVIATIONS = 256, 6
 #: Bytes of text that are hashed at a time; what a worker has taken for that it may keep.
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: A larger bucket is compared with HUBS of its nodes first.
 SMALL, HUBS = 16, 4
 #: Nodes of a bucket that one task compares with as many.
@@ -125,7 +125,7 @@ def _prints(n: int):
                 fp = simhash(np.concatenate(sets), count)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([_digest(x) for x in sets], pa.binary()), pa.array(count), pa.array(fp), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "row", "digest", "n", "fp", "bands", "sketch"])
 
-    return tidy(run)
+    return run
 
 
 def _shingles(n: int):
@@ -135,7 +135,7 @@ def _shingles(n: int):
                 sets = _sets(texts, n)
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["digest", "shingles"])
 
-    return tidy(run)
+    return run
 
 
 def _similar(x: str, y: str, least: float) -> Column:
@@ -225,7 +225,7 @@ def _pairs(least: float):
         uv = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], names=["u", "v"])
 
-    return tidy(lambda batches: _by_key(batches, done))
+    return lambda batches: _by_key(batches, done)
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
@@ -260,21 +260,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAS
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(row_col) if row_col else F.lit(None).cast("string")).alias("row"))
     longs, blob = T.LongType(), T.BinaryType()
     schema = T.StructType([T.StructField(c, t) for c, t in (("doc_id", longs), ("row", rows.schema["row"].dataType), ("digest", blob), ("n", longs), ("fp", longs), ("bands", T.ArrayType(longs)), ("sketch", blob))])
-    prints = materialize(rows.mapInArrow(_prints(shingle), schema))
+    prints = materialize(map_texts(rows, _prints(shingle), schema))
     distinct = prints.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
     parts = max(1, shuffle_partitions(docs.sparkSession))
 
     def pairs(of: DataFrame) -> DataFrame:
         of = of.join(nodes.select("node", "n", "sketch"), "node").repartition(parts, "tile").sortWithinPartitions("tile")
-        return materialize(of.select("tile", "node", "n", "part", "left", "right", "sketch").mapInArrow(_pairs(least), "u long, v long"))
+        return materialize(map_texts(of.select("tile", "node", "n", "part", "left", "right", "sketch"), _pairs(least), "u long, v long"))
 
     def links(found: DataFrame) -> DataFrame:
         found = materialize(found.distinct())
         ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         wanted = materialize(nodes.join(ends, "node").select("node", "digest", "rep"))
         texts = rows.join(wanted.select("rep").distinct(), F.coalesce("doc_id", F.lit(_LAST)) == F.col("rep"), "left_semi").select("text")
-        sets = texts.mapInArrow(_shingles(shingle), "digest binary, shingles array<long>").join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        sets = map_texts(texts, _shingles(shingle), "digest binary, shingles array<long>").join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
         sets = materialize(sets)
         both = found.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
         return materialize(both.where(_similar("x", "y", least)).select("u", "v"))

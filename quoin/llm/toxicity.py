@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import islice
 from math import log1p
 from zlib import crc32
 
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import materialize, table, tidy
+from .common import map_texts, materialize, table
 
 MAX_POSITIVE = 8000
 MAX_UNLABELLED = 16000
@@ -56,9 +57,9 @@ THRESHOLD = 0.7
 #: Spreads from the mean at which a length counts as no shorter or longer: a text is not toxic for being short.
 REACH = 1.0
 #: Words whose features are kept at hand in a task.
-CACHED = 150_000
+CACHED = 50_000
 #: Words of texts that are counted at a time.
-TOGETHER = 1 << 16
+TOGETHER = 1 << 15
 _EDGE = ".,;:!?%$&*#|\"'()[]{}<>-_"
 
 
@@ -259,11 +260,13 @@ def _sums(known: list[str] | None):
                 logs = np.log1p(words)
                 moments += len(words), logs.sum(), (logs**2).sum()
                 total += np.bincount(feature, np.log1p(count), len(total))
-        found = {x: n for x, n in zip(counts.number, total.tolist(), strict=True) if n}
-        yield table(0, dict(zip(MOMENTS, moments.tolist(), strict=True)) | found)
+        yield table(0, dict(zip(MOMENTS, moments.tolist(), strict=True)))
+        some = (x for x in zip(counts.number, total.tolist(), strict=True) if x[1])
+        while part := dict(islice(some, TOGETHER)):
+            yield table(0, part)
 
     names = "\n".join(known or [])  # one string, which a task takes apart once; features hold no space
-    return tidy(every if known is None else of_known)
+    return every if known is None else of_known
 
 
 def _sparse(number: dict[str, int]):
@@ -276,7 +279,7 @@ def _sparse(number: dict[str, int]):
                 rows.append({"key": key, "kind": kind, "fold": _fold(text), "words": n, "index": [i for i, _ in kept], "value": [v for _, v in kept]})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("fold", pa.int32()), ("words", pa.int32()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]))
 
-    return tidy(run)
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -300,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model()
 
     def sums(of: DataFrame, known: list[str] | None) -> DataFrame:
-        return of.select("text").mapInArrow(_sums(known), "fold int, feature string, value double").groupBy("fold", "feature").agg(F.sum("value").alias("value"))
+        return map_texts(of.select("text"), _sums(known), "fold int, feature string, value double").groupBy("fold", "feature").agg(F.sum("value").alias("value"))
 
     # every confirmed text, and every text of the training split; confirmed ids that are too many to send go by a shuffle
     ids = marks.where("label = 1").select("id")
@@ -332,7 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scale, *fold_scales = (lifts[f"lift{i}"].to_numpy() for i in range(FOLDS + 1))
     if not len(scale) or not scale.any():
         return Model()
-    got = sample.select("id", "kind", "text").mapInArrow(_sparse({x: i for i, x in enumerate(vocabulary)}), "key long, kind int, fold int, words int, index array<int>, value array<double>").toArrow().sort_by([("kind", "ascending"), ("key", "ascending"), ("words", "ascending")])
+    got = map_texts(sample.select("id", "kind", "text"), _sparse({x: i for i, x in enumerate(vocabulary)}), "key long, kind int, fold int, words int, index array<int>, value array<double>").toArrow().sort_by([("kind", "ascending"), ("key", "ascending"), ("words", "ascending")])
     ends = np.append(0, np.cumsum(np.array([len(x) for x in got["index"].to_pylist()], np.int64)))
     index = got["index"].combine_chunks().flatten().to_numpy()
     raw = got["value"].combine_chunks().flatten().to_numpy()
@@ -380,7 +383,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*batch.schema.names, out])
                 first += len(scores)
 
-    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return map_texts(docs, run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
