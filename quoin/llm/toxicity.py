@@ -168,8 +168,8 @@ class Model:
             z = self.bias + w * np.clip((np.log1p(words) - mean) / spread, -REACH, REACH) + np.bincount(row, weight[feature] * np.log1p(count), len(words))
             yield 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def score(self, texts: Iterable[str | None]) -> np.ndarray:
-        return np.concatenate([np.zeros(0), *self.scores(texts, Counts(self.weights))])
+    def score(self, texts: Iterable[str | None], counts: Counts | None = None) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *self.scores(texts, counts or Counts(self.weights))])
 
 
 def fit_nnpu(x: tuple[np.ndarray, np.ndarray, np.ndarray], dense: np.ndarray, positive: np.ndarray, n: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
