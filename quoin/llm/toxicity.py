@@ -24,17 +24,17 @@ empty result; a null id is not held out; columns other than id and text are neve
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import islice
+from itertools import islice, repeat
 from math import log1p
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .common import map_texts, materialize, table
@@ -56,10 +56,8 @@ EPOCHS, BATCHES, RATE, L2, SEED = 60, 10, 0.02, 2e-3, 11
 THRESHOLD = 0.7
 #: Spreads from the mean at which a length counts as no shorter or longer: a text is not toxic for being short.
 REACH = 1.0
-#: Words whose features are kept at hand in a task.
-CACHED = 50_000
-#: Words of texts that are counted at a time.
-TOGETHER = 1 << 15
+#: Characters of texts that are counted at a time, and features that leave a task at a time.
+TOGETHER = 1 << 19
 _EDGE = ".,;:!?%$&*#|\"'()[]{}<>-_"
 
 
@@ -86,63 +84,56 @@ def features(text: str) -> tuple[dict[str, int], int]:
     return out, len(words)
 
 
-def heads(known: Iterable[str]) -> set[str]:
-    """The first letters that a word has if one of its features is known, as many as the shortest prefix has; other words may have them too."""
-    k = min(PREFIXES)
-    return {y for x in known for y in (x[:k], x[1 : k + 1])}
-
-
 class Counts:
-    """Counts of known features, of many texts at a time: words are looked up one by one, all else is arrays."""
+    """Counts of known features, of many texts at a time. Arrow splits the texts; a group's distinct words and distinct heads of words are looked up once each, all else is arrays."""
 
     def __init__(self, known: Iterable[str]) -> None:
         self.number = {x: i for i, x in enumerate(known)}
-        self.first = heads(self.number)
-        self._forget()
-
-    def _forget(self) -> None:
-        # word 0 stands for all that have no known feature; features of word i are flat[ends[i]:ends[i + 1]]
-        self.words: dict[str, int] = {}
-        self.flat, self.ends = array("q"), array("q", [0, 0])
-
-    def _add(self, word: str) -> int:
-        bare = word.strip(_EDGE)
-        found: list[int] = []
-        if bare[: min(PREFIXES)] in self.first:
-            found = [self.number[x] for x in (bare, *("^" + bare[:k] for k in PREFIXES if len(bare) >= k)) if x in self.number]
-        if found:
-            self.flat.extend(found)
-            self.ends.append(len(self.flat))
-        self.words[word] = at = len(self.ends) - 2 if found else 0
-        return at
 
     def of_texts(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(words of each text, row, feature, count) of groups of texts of about TOGETHER words; features of a row are those of features(), as far as known."""
-        sizes, tokens = [], []
+        """(words of each text, row, feature, count) of groups of texts of about TOGETHER characters; features of a row are those of features(), as far as known."""
+        group, size = [], 0
         for text in texts:
-            split = (text or "").lower().split()
-            sizes.append(len(split))
-            tokens += split
-            if len(tokens) >= TOGETHER:
-                yield self._counted(sizes, tokens)
-                sizes, tokens = [], []
-        if sizes:
-            yield self._counted(sizes, tokens)
-
-    def _counted(self, sizes: list[int], tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        if len(self.words) > CACHED:
-            self._forget()
-        get, add = self.words.get, self._add
-        for word in {x for x in tokens if x not in self.words}:
-            add(word)
-        size = np.array(sizes, np.int64)
-        word, row = np.fromiter(map(get, tokens), np.int64, len(tokens)), np.repeat(np.arange(len(size)), size)
-        some = word > 0
-        both, n = np.unique(row[some] * len(self.ends) + word[some], return_counts=True)
-        row, word = np.divmod(both, len(self.ends))
-        ends, flat = np.array(self.ends, np.int64), np.array(self.flat, np.int64)
-        times = ends[word + 1] - ends[word]
-        take = np.repeat(ends[word] - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(times.sum())
+            group.append((text or "").lower())
+            size += len(group[-1])
+            if size >= TOGETHER:
+                yield self._counted(group)
+                group, size = [], 0
+        if group:
+            yield self._counted(group)
+
+    def _numbers(self, names: pa.Array) -> np.ndarray:
+        """Of each name the number as a feature; -1 if it isn't known."""
+        names = names.dictionary_encode()
+        each = names.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist() takes several times as long
+        return np.fromiter(map(self.number.get, each, repeat(-1)), np.int64, len(each))[names.indices.to_numpy()]
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Known features of all words, one word's after the other's; and how many each word has."""
+        bare = pc.utf8_trim(words, _EDGE)
+        length = pc.utf8_length(bare).to_numpy()
+        at, found = [np.arange(len(bare))], [self._numbers(bare)]
+        mark, none = pa.scalar("^", bare.type), pa.scalar("", bare.type)
+        for k in PREFIXES:
+            at.append(np.flatnonzero(length >= k))
+            heads = pc.utf8_slice_codeunits(bare.filter(pa.array(length >= k)), 0, k)
+            found.append(self._numbers(pc.binary_join_element_wise(mark, heads, none)))
+        word, feature = np.concatenate(at), np.concatenate(found)
+        word, feature = word[feature >= 0], feature[feature >= 0]
+        return feature[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(bare))
+
+    def _counted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))  # at the characters that str.split() takes
+        row, tokens = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy()), split.flatten().dictionary_encode()
+        word, words = tokens.indices.to_numpy().astype(np.int64), tokens.dictionary
+        # white space at either end of a text leaves an empty word
+        size = np.bincount(row[(pc.binary_length(words).to_numpy() > 0)[word]], minlength=len(texts))
+        flat, has = self._known(words)
+        some = has[word] > 0
+        both, n = np.unique(row[some] * max(1, len(words)) + word[some], return_counts=True)
+        row, word = np.divmod(both, max(1, len(words)))
+        times = has[word]
+        take = np.repeat((np.cumsum(has) - has)[word] - np.cumsum(times) + times, times) + np.arange(times.sum())
         key, place = np.unique(np.repeat(row, times) * max(1, len(self.number)) + flat[take], return_inverse=True)
         count = np.bincount(place, np.repeat(n, times), len(key))
         row, feature = np.divmod(key, max(1, len(self.number)))
@@ -269,15 +260,19 @@ def _sums(known: list[str] | None):
     return every if known is None else of_known
 
 
-def _sparse(number: dict[str, int]):
+def _sparse(vocabulary: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(vocabulary)
         for batch in batches:
-            rows = []
-            for key, kind, text in zip(*map(_one_by_one, batch.columns), strict=True):
-                found, n = features(text or "")
-                kept = [(number[x], log1p(k)) for x, k in found.items() if x in number]
-                rows.append({"key": key, "kind": kind, "fold": _fold(text), "words": n, "index": [i for i, _ in kept], "value": [v for _, v in kept]})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("fold", pa.int32()), ("words", pa.int32()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]))
+            keys, kinds, texts = batch.columns
+            fold = pa.array([_fold(x) for x in _one_by_one(texts)], pa.int32())
+            first = 0
+            for words, row, feature, count in counts.of_texts(_one_by_one(texts)):
+                ends = pa.array(np.searchsorted(row, np.arange(len(words) + 1)), pa.int32())
+                index, value = (pa.ListArray.from_arrays(ends, x) for x in (pa.array(feature, pa.int32()), pa.array(np.log1p(count))))
+                part = [x.slice(first, len(words)) for x in (keys, kinds, fold)]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(words, pa.int32()), index, value], names=["key", "kind", "fold", "words", "index", "value"])
+                first += len(words)
 
     return run
 
@@ -335,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scale, *fold_scales = (lifts[f"lift{i}"].to_numpy() for i in range(FOLDS + 1))
     if not len(scale) or not scale.any():
         return Model()
-    got = map_texts(sample.select("id", "kind", "text"), _sparse({x: i for i, x in enumerate(vocabulary)}), "key long, kind int, fold int, words int, index array<int>, value array<double>").toArrow().sort_by([("kind", "ascending"), ("key", "ascending"), ("words", "ascending")])
+    got = map_texts(sample.select("id", "kind", "text"), _sparse(vocabulary), "key long, kind int, fold int, words int, index array<int>, value array<double>").toArrow().sort_by([("kind", "ascending"), ("key", "ascending"), ("words", "ascending")])
     ends = np.append(0, np.cumsum(np.array([len(x) for x in got["index"].to_pylist()], np.int64)))
     index = got["index"].combine_chunks().flatten().to_numpy()
     raw = got["value"].combine_chunks().flatten().to_numpy()

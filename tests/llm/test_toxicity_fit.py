@@ -137,3 +137,36 @@ def test_scores_come_in_groups_and_names_in_one_string():
 
     before = size()
     assert list(tidy(run)(iter(()))) == [50_000] and size() - before < 30_000_000
+
+
+def test_distinct_words_are_looked_up_once_and_counts_are_those_of_features():
+    class Seen(dict):
+        n = 0
+
+        def get(self, *args):
+            Seen.n += 1
+            return super().get(*args)
+
+        def __contains__(self, key):
+            Seen.n += 1
+            return super().__contains__(key)
+
+    spaces = [" ", "  ", "\n", "\x1c", "\x85", "\xa0", "\u2009", "\u3000"]
+    odd = ["Straße.", "İstanbul", "ΟΔΟΣ,", "ΣΣ", "^abcd", "abcdxyz", "(abcd)", "###", "-_-", "été!", "\U0001f600\U0001f600\U0001f600\U0001f600\U0001f600", "\U00010400\U00010401\U00010402\U00010403\U00010404", "a", "\u200b", ""]
+    r = random.Random(5)
+    texts = [None, "", " \t", *("".join(r.choice(spaces) + r.choice(odd) for _ in range(r.randint(1, 40))) for _ in range(200))]
+    known = sorted({x for y in texts for x in t.features(y or "")[0]})[::2] + ["^wordz", "other"]
+    counts = t.Counts(known)
+    for given in (texts, texts[:1], texts[3:4]):
+        found = []
+        for words, row, feature, count in counts.of_texts(given):
+            rows = [{} for _ in words]
+            for i, x, n in zip(row, feature, count, strict=True):
+                rows[i][known[x]] = n
+            found += zip(rows, words, strict=True)
+        assert found == [({x: n for x, n in f.items() if x in set(known)}, n) for f, n in (t.features(x or "") for x in given)]
+
+    # 40,000 words of few heads: looking up each head of each word took five times as many
+    many = [" ".join(f"wordwor{i:05}" for i in range(j, 40_000, 50)) for j in range(50)]
+    counts.number = Seen(counts.number)
+    assert sum(int(words.sum()) for words, *_ in counts.of_texts(many)) == 40_000 and 0 < Seen.n < 60_000
