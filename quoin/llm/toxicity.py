@@ -204,7 +204,7 @@ def fit_nnpu(x: tuple[np.ndarray, np.ndarray, np.ndarray], dense: np.ndarray, po
 
 
 def _calibrate(z: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the logistic curve of a toxic label over decisions: Newton steps, with a slight pull on the slope towards 1."""
+    """Slope and intercept of the logistic curve of a toxic label over decisions: Newton steps, with a slight pull on the slope towards 1. The slope is above 0."""
     a, b = 1.0, 0.0
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -214,6 +214,14 @@ def _calibrate(z: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> tuple
         a, b = np.array([a, b]) - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
+    if a <= 0:  # happens where labels are few, and would turn the ranking round: only the intercept is fitted
+        a, b = 1.0, 0.0
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+            step = (weight * (q - positive)).sum() / ((weight * np.maximum(q * (1 - q), 1e-6)).sum() + 1e-6)
+            b -= np.clip(step, -2, 2)
+            if abs(step) < 1e-9:
+                break
     return float(a), float(b)
 
 

@@ -170,3 +170,12 @@ def test_distinct_words_are_looked_up_once_and_counts_are_those_of_features():
     many = [" ".join(f"wordwor{i:05}" for i in range(j, 40_000, 50)) for j in range(50)]
     counts.number = Seen(counts.number)
     assert sum(int(words.sum()) for words, *_ in counts.of_texts(many)) == 40_000 and 0 < Seen.n < 60_000
+
+
+def test_calibration_never_turns_the_decisions_round():
+    z, positive = np.array([-3.0, -2.0, 1.0, 2.0, 3.0]), np.array([True, True, False, False, False])
+    weight = np.where(positive, 1.25, 5 / 6)
+    slope, shift = t._calibrate(z, positive, weight)
+    q = 1 / (1 + np.exp(-(slope * z + shift)))
+    assert slope == 1 and abs((weight * (q - positive)).sum()) < 1e-6
+    assert t._calibrate(z, ~positive, np.ones(5))[0] > 1
