@@ -545,3 +545,35 @@ def test_steps_of_eigenvalues_leave_no_vectors_behind(spark, monkeypatch):
     got = spectral.smallest_eigenvalues(spark.createDataFrame(edges, "a long, b long, weight double"), 3, block=4)
     assert got == pytest.approx([1 - np.cos(np.pi * i / 60) for i in range(3)], abs=1e-8)
     assert len(names) > 4 and len(gone) == len(names) and all(gone)
+
+
+def _meetings(r):
+    rows = [("all", i) for i in range(90)] + [(f"g{g}", i - 5) for g in range(70) for i in {0, *(r.randrange(150) for _ in range(4))}] + [(None, 3), (None, 400), ("g1", None), ("one", 500)]
+    return rows + rows[:20]
+
+
+def test_the_laplacian_of_shared_groups_shuffles_no_edges(spark, monkeypatch):
+    from quoin.plans import relations
+
+    df = spark.createDataFrame(_meetings(random.Random(7)), "g string, i int")
+    want = {(x.a, x.b): x.value for x in graphs.normalised_laplacian(joins.co_occurrence(df, "g", "i").withColumnRenamed("n", "weight")).collect()}
+    for most, chunk in ((1 << 21, 1024), (300, 40)):
+        monkeypatch.setattr(joins, "PAIRS", most)
+        monkeypatch.setattr(joins, "CHUNK", chunk)
+        got = graphs.shared_laplacian(df, "g", "i")
+        assert got.count() == len(want) and {(x.a, x.b): x.value for x in got.collect()} == pytest.approx(want)
+    plan = relations.laplacian(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(a" not in plan and plan.count("Exchange") - plan.count("BroadcastExchange") <= 1
+
+
+def test_pairs_travel_in_few_bytes_and_come_back(monkeypatch):
+    from quoin.operators import packs
+
+    r = np.random.default_rng(8)
+    lists = [sorted(r.choice(60000, 30, replace=False).tolist()) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64())), pa.array([None] * len(lists), pa.list_(pa.int64()))], names=["mine", "right"])
+    sent = pa.Table.from_batches(list(packs.sender(20, 1 << 21, [], 16, False, False)(iter([batch])))).to_pylist()
+    pairs = [(a, b) for row in sent for a, b in zip(*(x.tolist() for x in packs.pairs_of(row["blob"])), strict=True)]
+    assert sorted(pairs) == sorted((x, y) for s in lists for i, x in enumerate(s) for y in s[i + 1 :])
+    assert sum(len(row["blob"]) for row in sent) < 3 * len(pairs)
+    assert all(len({row["task"] for row in sent if a in packs.pairs_of(row["blob"])[0]}) == 1 for a in [p[0] for p in pairs[:20]])
