@@ -577,3 +577,23 @@ def test_pairs_travel_in_few_bytes_and_come_back(monkeypatch):
     assert sorted(pairs) == sorted((x, y) for s in lists for i, x in enumerate(s) for y in s[i + 1 :])
     assert sum(len(row["blob"]) for row in sent) < 3 * len(pairs)
     assert all(len({row["task"] for row in sent if a in packs.pairs_of(row["blob"])[0]}) == 1 for a in [p[0] for p in pairs[:20]])
+
+
+def test_cells_of_a_triangle_are_written_where_their_pairs_are_counted(spark, monkeypatch):
+    rows = _meetings(random.Random(11))
+    groups = {}
+    for g, i in rows:
+        if g is not None and i is not None:
+            groups.setdefault(g, set()).add(i)
+    items = sorted({i for _, i in rows if i is not None})
+    want = {(a, b): sum(a in s and b in s for s in groups.values()) for a in items for b in items if a >= b}
+    df = spark.createDataFrame(rows, "g string, i int")
+    for most, chunk in ((1 << 21, 1024), (300, 40)):
+        monkeypatch.setattr(joins, "PAIRS", most)
+        monkeypatch.setattr(joins, "CHUNK", chunk)
+        got = joins.lower_triangle(df, "g", "i")
+        assert got.count() == len(want) and {(x.a, x.b): x.n for x in got.collect()} == want and want[400, 400] == 0
+    monkeypatch.undo()
+    # pairs are read once and shuffled once, as blobs; what is counted is neither written nor shuffled again
+    plan = joins.lower_triangle(df, "g", "i")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "hashpartitioning(a" not in plan and "SortMergeJoin" not in plan
