@@ -597,3 +597,21 @@ def test_cells_of_a_triangle_are_written_where_their_pairs_are_counted(spark, mo
     # pairs are read once and shuffled once, as blobs; what is counted is neither written nor shuffled again
     plan = joins.lower_triangle(df, "g", "i")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "hashpartitioning(a" not in plan and "SortMergeJoin" not in plan
+
+
+def test_support_of_edges_travels_by_the_number_of_a_mark(spark, monkeypatch):
+    r = random.Random(13)
+    rows = [(i, g, r.choice("ANR"), r.choice([True, False, None])) for i, g in ((r.randrange(40), r.randrange(60)) for _ in range(900))] + [(i, 99, "A", None) for i in range(50)] + [(None, 1, "A", True), (1, None, "A", True)]
+    df = spark.createDataFrame(rows, "node int, part long, flag string, sure boolean")
+    args = ("node", "part", F.col("sure"), F.col("flag") == "N", "flag")
+    plain = lambda out: sorted((x.a, x.b, x.n, x.n_strong, x.n_not_weak, str(x.any_strong), tuple(x["sample"]), tuple(sorted(x.grades.items()))) for x in out.collect())
+    monkeypatch.setattr(graphs, "MARKS", -1)
+    want = plain(graphs.shared_edges(df, *args))
+    monkeypatch.setattr(graphs, "MARKS", 4096)
+    for most, chunk in ((1 << 21, 1024), (200, 20)):
+        monkeypatch.setattr(joins, "PAIRS", most)
+        monkeypatch.setattr(joins, "CHUNK", chunk)
+        got = graphs.shared_edges(df, *args)
+        assert plain(got) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(a" not in plan
